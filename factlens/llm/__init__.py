@@ -1,0 +1,11 @@
+"""Operators for preparing training corpora.
+
+Nothing outside this subpackage imports it.  Functions that run on executors
+are pickled by value, so that executors need not have the package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
