@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup, quality
+from . import decontaminate, minhash_dedup, packing, pii, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,17 +17,36 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    sha = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", sha, "contaminated")
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_pack": op4_pack,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 SQL: dict[str, str] = {
     "op1_minhash": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -39,5 +59,18 @@ r AS (SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT e.b, r.low
 m AS (SELECT id, min(low) AS low FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.low AS component_id, m.low = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
+""",
+    "op3_decontaminate": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda k: array_to_string(w[k:k + least(len(w), 13) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
+l AS (SELECT DISTINCT m FROM g),
+p AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS k, w FROM w, l WHERE len(w) >= m),
+f AS (SELECT p.doc_id, p.k, p.m, g.item_id FROM (SELECT doc_id, m, k, array_to_string(w[k:k + m - 1], ' ') AS g FROM p) p JOIN g ON p.m = g.m AND p.g = g.g),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS pos FROM f) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM f) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.x, '')) AS items_sha256,
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w.w) AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
 }
