@@ -37,24 +37,24 @@ from .common import SPACED, Scratch, components, grams, mix, signed, slices, wor
 
 ROWS, BANDS = 6, 48
 PERMS = ROWS * BANDS // 2
-#: Bits kept of each signature value in the sketch that bounds similarity.
-SKETCH_BITS = 2
-SKETCH_LONGS = SKETCH_BITS * PERMS * 2 // 64
+#: Permutations of the longer sketch, one bit a value, that bounds the similarity of what stays open.
+SKETCH_PERMS = 1024
+SKETCH_LONGS = 2 * SKETCH_PERMS // 64
 
 _rng = np.random.default_rng(1729)
-_MUL = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64)
+_MUL = _rng.integers(1, 1 << 63, PERMS + SKETCH_PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(1, 1 << 63, PERMS + SKETCH_PERMS, dtype=np.uint64)
 
 
-def min_max(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+def min_max(x: np.ndarray, ptr: np.ndarray, first: int = 0, perms: int = PERMS) -> np.ndarray:
     """Minimum and maximum of each document's elements under each permutation; rows with elements only."""
     starts = ptr[:-1][np.diff(ptr) > 0]
-    out = np.empty((len(starts), 2 * PERMS), np.uint64)
-    for j in range(PERMS):
-        y = x * _MUL[j]
-        y += _ADD[j]
+    out = np.empty((len(starts), 2 * perms), np.uint64)
+    for j in range(perms):
+        y = x * _MUL[first + j]
+        y += _ADD[first + j]
         out[:, j] = np.minimum.reduceat(y, starts)
-        out[:, PERMS + j] = np.maximum.reduceat(y, starts)
+        out[:, perms + j] = np.maximum.reduceat(y, starts)
     return out
 
 
@@ -73,10 +73,9 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS hashed bits of every value, packed: equal values agree, others by chance 1/2 a bit."""
-    m = mix(sig)
-    bits = np.concatenate([((m >> np.uint64(k)) & np.uint64(1)).astype(np.uint8) for k in range(SKETCH_BITS)], axis=1)
+def sketch(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """One hashed bit of each of 2 * SKETCH_PERMS values, packed: equal values agree, others by chance 1/2."""
+    bits = (mix(min_max(x, ptr, PERMS, SKETCH_PERMS)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -107,16 +106,15 @@ def _signatures(k: int):
             has = n > 0
             starts = ptr[:-1][has]
             fp1, fp2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            bands, sk = np.zeros((0, BANDS), np.uint64), np.zeros((0, SKETCH_LONGS), np.int64)
+            bands = np.zeros((0, BANDS), np.uint64)
             if len(starts):
                 fp1[has] = np.add.reduceat(mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
                 fp2[has] = np.add.reduceat(mix(x + np.uint64(0x0123456789ABCDEF)), starts)
-                sig = min_max(x, ptr)
-                bands, sk = band_hashes(sig), sketch(sig)
+                bands = band_hashes(min_max(x, ptr))
             at = np.concatenate(([0], np.cumsum(has)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n), pa.array(signed(fp1)), pa.array(signed(fp2)), _list(signed(bands).ravel(), at * BANDS), _list(sk.ravel(), at * SKETCH_LONGS)],
-                ["doc_id", "n", "fp1", "fp2", "bands", "sketch"],
+                [b.column("doc_id"), pa.array(n), pa.array(signed(fp1)), pa.array(signed(fp2)), _list(signed(bands).ravel(), at * BANDS)],
+                ["doc_id", "n", "fp1", "fp2", "bands"],
             )
 
     return run
@@ -131,6 +129,16 @@ def _sets(k: int):
     return run
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            lists = b.column("elements")
+            ptr = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
+            sk = sketch(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ptr)
+            yield pa.RecordBatch.from_arrays([b.column("id"), _list(sk.ravel(), np.arange(len(sk) + 1) * SKETCH_LONGS)], ["id", "sketch"])
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance, linked) of (a, b) pairs, from their full sets."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
@@ -148,7 +156,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, leader
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    feats = scratch.save(docs.select("doc_id", "text").mapInArrow(_signatures(shingle), f"doc_id {kind}, n long, fp1 long, fp2 long, bands array<long>, sketch array<long>"), "signatures")
+    feats = scratch.save(docs.select("doc_id", "text").mapInArrow(_signatures(shingle), f"doc_id {kind}, n long, fp1 long, fp2 long, bands array<long>"), "signatures")
     real = feats.where("n > 0 and doc_id is not null")
     key = ["fp1", "fp2", "n"]
     classes = scratch.save(real.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
@@ -156,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, leader
     member = scratch.save(member, "members")
     # An id on several rows with different sets ties their classes together.
     again = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    reps = classes.join(feats.select(F.col("doc_id").alias("rep"), *key, "bands", "sketch"), ["rep", *key]).dropDuplicates(["rep", *key])
+    reps = classes.join(feats.select(F.col("doc_id").alias("rep"), *key, "bands"), ["rep", *key]).dropDuplicates(["rep", *key])
     # Two rows of one id may be two classes of one representative; their bands both count.
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
     order = [F.col("rep")] + [F.struct(F.xxhash64("rep", F.lit(k)), F.col("rep")) for k in range(1, leaders)]
@@ -180,19 +188,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, leader
     for k in range(leaders):
         open_ = open_.join(dist.select("rep", F.col("leader").alias(f"l{k}"), F.col("distance").alias(f"d{k}")), ["rep", f"l{k}"], "left")
         open_ = open_.withColumn(f"d{k}", F.when(F.col("rep") == F.col(f"l{k}"), 0.0).otherwise(F.col(f"d{k}")))
-    open_ = open_.join(reps.select("rep", "n", "sketch"), ["rep", "n"])
-    open_ = scratch.save(open_.select("key", "rep", "n", "component", *(f"d{k}" for k in range(leaders)), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_LONGS))), "open")
+    sharp = scratch.save(sets.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sketches, f"id {kind}, sketch array<long>"), "sketches")
+    open_ = open_.join(reps.select("rep", "n", "bands"), ["rep", "n"]).join(sharp.withColumnRenamed("id", "rep"), "rep")
+    open_ = scratch.save(open_.select("key", "rep", "n", "component", "bands", *(f"d{k}" for k in range(leaders)), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_LONGS))), "open")
     bits = SKETCH_LONGS * 64
-    # Values agree with probability s, other bits by chance; the bound lies more than five deviations out.
-    share = percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / (2 * PERMS)) ** 0.5
-    most = int((1 - share) / 2 * bits + 5.5 * (bits * (1 - share) / 4) ** 0.5 * 0.5)
+    # Bits differ with probability (1 - similarity) / 2; the bound lies 5.5 deviations out.
+    p = (1 - percent / 100) / 2
+    most = int(bits * p + 5.5 * (bits * p * (1 - p)) ** 0.5)
     a, b = open_.alias("p"), open_.alias("q")
     col = lambda side, name: F.col(f"{side}.{name}")
     differ = sum((F.bit_count(col("p", f"s{i}").bitwiseXOR(col("q", f"s{i}"))) for i in range(1, SKETCH_LONGS)), F.bit_count(col("p", "s0").bitwiseXOR(col("q", "s0"))))
-    apart = [F.abs(col("p", f"d{k}") - col("q", f"d{k}")) <= 1 - percent / 100 + 1e-9 for k in range(leaders)]
-    cond = (col("p", "key") == col("q", "key")) & (col("p", "rep") < col("q", "rep")) & (col("p", "component") != col("q", "component")) & near(col("p", "n"), col("q", "n")) & (differ <= most)
+    apart = [F.coalesce(F.abs(col("p", f"d{k}") - col("q", f"d{k}")) <= 1 - percent / 100 + 1e-9, F.lit(True)) for k in range(leaders)]
+    cond = (col("p", "key") == col("q", "key")) & (col("p", "rep") < col("q", "rep")) & (col("p", "component") != col("q", "component")) & near(col("p", "n"), col("q", "n"))
     for x in apart:
         cond = cond & x
+    # A pair that shares several buckets is made in the first of them only.
+    cond = cond & (differ <= most) & (F.element_at(F.array_intersect(col("p", "bands"), col("q", "bands")), 1) == col("p", "key"))
     rest = a.join(b, cond).select(col("p", "rep").alias("a"), col("q", "rep").alias("b")).distinct()
     rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     more = scratch.save(_confirm(rest, sets, percent).where("linked").select("a", "b"), "more")
