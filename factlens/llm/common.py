@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are cut into groups of about this many bytes (a longer text is a group alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 500_000
 
 U64 = np.uint64
 
@@ -214,6 +214,18 @@ def words(arr: pa.Array, kind: np.ndarray = SPACED, lower: bool = False, hashed:
     return Words(data, start, end, ptr, h)
 
 
+def prefix_hashes(w: Words, k: int) -> np.ndarray:
+    """Hashes of the words' first k bytes, lower-cased; 0 for words that aren't longer."""
+    at = np.flatnonzero(w.end - w.start > k)
+    up, _ = powers(k)
+    h = np.full(len(at), k * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
+    for j in range(k):
+        h += _LOWER[w.data[w.start[at] + j]] * up[j]
+    out = np.zeros(len(w.start), np.uint64)
+    out[at] = mix(h)
+    return out
+
+
 def grams(h: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive words within a text, and where each text's grams begin.
 

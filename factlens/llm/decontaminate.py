@@ -33,7 +33,7 @@ from .common import ALNUM, Scratch, slices, words
 
 #: Words of the test set that are held in memory at once, about 100 MB with their indexes.
 BLOCK_WORDS = 2_000_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1_500_000
 
 
 @dataclass
@@ -199,10 +199,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, tag: str = "")
     for k in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(blocks)) == k).collect()
         block = test_block([r.item_id for r in rows], [np.frombuffer(r.h, np.uint64) for r in rows], window)
-        sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
+        # Spark broadcasts a function's closure when it is large.
+        def run(batches: Iterator[pa.RecordBatch], block: TestBlock = block) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", SHARD_BYTES):
                 yield _scanned(b, block, window, names, len(base.fields))
 
