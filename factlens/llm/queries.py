@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, packing, pii, quality, substring_dedup, toxicity
+from . import decontaminate, embedding_dedup, minhash_dedup, packing, pii, quality, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_pack": op4_pack,
     "op5_substring": op5_substring,
+    "op6_embeddings": op6_embeddings,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
@@ -91,5 +96,14 @@ p AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS pos FROM g JOIN f USIN
 a AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS x FROM w),
 k AS (SELECT a.doc_id, count(*) FILTER (p.pos IS NOT NULL) AS n_removed, string_agg(a.x, ' ' ORDER BY a.pos) FILTER (p.pos IS NULL) AS kept FROM a LEFT JOIN p ON p.doc_id = a.doc_id AND p.pos = a.pos GROUP BY a.doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+""",
+    "op6_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda y: y IS NOT NULL AND isfinite(y)))),
+u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM v WHERE list_inner_product(x, x) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS low FROM embeddings UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(low) AS low FROM r GROUP BY id),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.low AS component_id, m.low = e.vec_id AS kept FROM embeddings e JOIN m ON m.id = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """,
 }
