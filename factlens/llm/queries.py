@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, minhash_dedup, packing, pii, quality, substring_dedup, toxicity
+from . import decontaminate, embedding_dedup, license_scan, minhash_dedup, packing, pii, quality, substring_dedup, token_count, toxicity
 from .common import table
 
+#: A model file whose pieces and scores are the unigram vocabulary.
+PIECES = os.environ.get("FACTLENS_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -39,6 +43,14 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), token_count.load_pieces(model))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -54,6 +66,8 @@ QUERIES: dict[str, Query] = {
     "op4_pack": op4_pack,
     "op5_substring": op5_substring,
     "op6_embeddings": op6_embeddings,
+    "op7_tokens": op7_tokens,
+    "op8_licenses": op8_licenses,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
