@@ -183,7 +183,7 @@ SELECT count(*) AS removed, count(*) FILTER (EXISTS (SELECT 1 FROM n WHERE n.fil
     "runtime_merge": "SELECT callerFrame, calleeFrame, sum(samples)::BIGINT AS samples, bool_or(viaNative) AS viaNative, count(DISTINCT run) AS runs, arg_min(callerId, ord) AS callerId, arg_min(calleeId, ord) AS calleeId, arg_min(callerTier, ord) AS callerTier, arg_min(calleeTier, ord) AS calleeTier FROM {runtime} GROUP BY callerFrame, calleeFrame",
     "runtime_pairs": "SELECT * FROM {rpairs}",
     "runtime_join_rate": f"SELECT *, {_pct('joined', 'inside')} AS joined_pct, {_pct('exact', 'inside')} AS exact_pct, {_pct('joined_samples', 'samples')} AS weighted_pct FROM (SELECT count(*) AS edges, count(*) FILTER (i) AS inside, count(*) FILTER (i AND j) AS joined, count(*) FILTER (i AND x) AS exact, coalesce(sum(samples) FILTER (i), 0)::BIGINT AS samples, coalesce(sum(samples) FILTER (i AND j), 0)::BIGINT AS joined_samples FROM (SELECT samples, callerTier <> 'external' AS i, callerResolved AND calleeResolved AS j, callerTier = 'exact' AND calleeTier = 'exact' AS x FROM {{runtime}}))",
-    "runtime_tiers": "SELECT 'caller' AS side, callerTier AS tier, count(*) AS n FROM {runtime} WHERE callerTier <> 'external' GROUP BY callerTier UNION ALL SELECT 'callee', calleeTier, count(*) FROM {runtime} GROUP BY calleeTier UNION ALL SELECT 'frame', tier, count(*) FROM (SELECT frame, arg_max(tier, at) AS tier FROM (SELECT calleeFrame AS frame, calleeTier AS tier, ord * 2 AS at FROM {runtime} UNION ALL SELECT callerFrame, callerTier, ord * 2 + 1 FROM {runtime} WHERE callerTier <> 'external') GROUP BY frame) GROUP BY tier",
+    "runtime_tiers": "SELECT 'caller' AS side, callerTier AS tier, count(*) AS n FROM {runtime} WHERE callerTier <> 'external' GROUP BY callerTier UNION ALL SELECT 'callee', calleeTier, count(*) FROM {runtime} GROUP BY calleeTier UNION ALL SELECT 'frame', tier, count(*) FROM (SELECT frame, arg_max(tier, pos) AS tier FROM (SELECT calleeFrame AS frame, calleeTier AS tier, ord * 2 AS pos FROM {runtime} UNION ALL SELECT callerFrame, callerTier, ord * 2 + 1 FROM {runtime} WHERE callerTier <> 'external') GROUP BY frame) GROUP BY tier",
     "runtime_novelty": "SELECT CASE WHEN s.callerId IS NOT NULL THEN 'static' WHEN p.callerId = p.calleeId THEN 'self_loop' WHEN starts_with(p.calleeId, 'module:') THEN 'module_callee' WHEN starts_with(p.callerId, 'module:') THEN 'module_caller' ELSE 'function_to_function' END AS class, count(*) AS n, count(*) FILTER (p.exact) AS exact, count(*) FILTER (p.viaNative) AS via_native, count(*) FILTER (x.callerId IS NOT NULL) AS shortcut FROM {rpairs} p LEFT JOIN {spairs} s ON s.callerId = p.callerId AND s.calleeId = p.calleeId LEFT JOIN {shortcut} x ON x.callerId = p.callerId AND x.calleeId = p.calleeId GROUP BY 1",
     "shortcut_edges": "SELECT * FROM {shortcut}",
     "sampling_recall": "SELECT runs, count(*) AS edges FROM (SELECT count(DISTINCT run) AS runs FROM {runtime} GROUP BY callerFrame, calleeFrame) GROUP BY runs",
