@@ -2,12 +2,6 @@ import random
 
 import pytest
 
-WORDS = [a + b + c for a in ("th", "en", "or", "st") for b in ("an", "er", "ou") for c in ("", "ing", "ble", "ti")]
-
-
-def prose(rng: random.Random, n: int) -> str:
-    return " ".join(rng.choice(WORDS) for _ in range(n))
-
 
 @pytest.fixture
 def rng():

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import prose
+from corpus_helpers import prose
 
 from factlens.llm import embedding_dedup, minhash_dedup, queries, substring_dedup
 
