@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components
 
@@ -50,33 +51,38 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _vectors(raw: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
+def _vectors(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, raw, dims = [], [], []
-        for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if not v.is_valid or not len(v):
-                continue
-            x = v.values.to_numpy(zero_copy_only=False)
-            if v.values.null_count or not np.isfinite(x.astype(np.float64)).all() or not np.any(x):
-                continue
-            ids.append(i)
-            raw.append(x.astype(np.float64).tobytes())
-            dims.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(raw, pa.binary()), pa.array(dims, pa.int64())], ["vec_id", "raw", "dim"])
+def _usable(number: str):
+    """Vectors as bytes in their own precision: single ones travel at half the size and widen exactly."""
 
-
-def _principal(classes: DataFrame, dim: int, parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, raw, dims = [], [], []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if not v.is_valid or not len(v):
+                    continue
+                x = v.values.to_numpy(zero_copy_only=False)
+                if v.values.null_count or not np.isfinite(x).all() or not np.any(x):
+                    continue
+                ids.append(i)
+                raw.append((x + 0.0).astype(number).tobytes())  # minus zero becomes zero: equal vectors have equal bytes
+                dims.append(len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(raw, pa.binary()), pa.array(dims, pa.int64())], ["vec_id", "raw", "dim"])
+
+    return run
+
+
+def _principal(classes: DataFrame, dim: int, number: str, parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(mean, leading directions) from partition sums of the second moments."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, m = 0, np.zeros(dim), np.zeros((dim, dim))
         for b in batches:
             if b.num_rows:
-                u = _scaled(_vectors(b.column("raw").to_pylist(), dim))
+                u = _scaled(_vectors(b.column("raw").to_pylist(), dim, number))
                 n, s, m = n + len(u), s + u.sum(0), m + u.T @ u
         yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tobytes()], "m": [m.tobytes()]})
 
@@ -94,13 +100,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_
     scratch = Scratch(spark, "embeddings")
     kind = vectors.schema[vec_id].dataType.simpleString()
     all_ = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
-    good = scratch.save(all_.where("vec_id is not null").mapInArrow(_usable, f"vec_id {kind}, raw binary, dim long"), "usable")
+    number = "f4" if isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType) else "f8"
+    good = scratch.save(all_.where("vec_id is not null").mapInArrow(_usable(number), f"vec_id {kind}, raw binary, dim long"), "usable")
     # Equal vectors are one class: the smallest id stands for them, their number of ids is its weight.
     ids = good.select("vec_id", "raw", "dim").distinct()
     classes = scratch.save(ids.groupBy("raw", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     links, counts = None, None
     for row in classes.select("dim").distinct().orderBy("dim").collect():
-        c, e = _join(classes.where(F.col("dim") == row.dim), row.dim, cosine, scratch, kind)
+        c, e = _join(classes.where(F.col("dim") == row.dim), row.dim, number, cosine, scratch, kind)
         counts, links = (c, e) if counts is None else (counts.unionByName(c), links.unionByName(e))
     if counts is None:
         return all_.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -116,16 +123,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
 
 
-def _join(classes: DataFrame, dim: int, cosine: float, scratch: Scratch, kind: str) -> tuple[DataFrame, DataFrame]:
+def _join(classes: DataFrame, dim: int, number: str, cosine: float, scratch: Scratch, kind: str) -> tuple[DataFrame, DataFrame]:
     """((rep, n) link counts weighted by copies, (a, b) spanning links) among classes of one length."""
     eps = float(np.sqrt(max(2 - 2 * cosine, 0)))
-    mean, axes = _principal(classes, dim)
+    mean, axes = _principal(classes, dim, number)
     k = axes.shape[1]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                p = (_scaled(_vectors(b.column("raw").to_pylist(), dim)) - mean) @ axes
+                p = (_scaled(_vectors(b.column("raw").to_pylist(), dim, number)) - mean) @ axes
                 cells = np.floor(p / max(eps, 1e-6)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("raw"), b.column("weight"), *(pa.array(cells[:, j]) for j in range(k))], ["rep", "raw", "weight", *(f"c{j}" for j in range(k))])
 
@@ -140,7 +147,7 @@ def _join(classes: DataFrame, dim: int, cosine: float, scratch: Scratch, kind: s
 
         def block() -> pa.RecordBatch:
             raw = [h[1] for h in held]
-            p = (_scaled(_vectors(raw, dim)) - mean) @ axes
+            p = (_scaled(_vectors(raw, dim, number)) - mean) @ axes
             ids = np.array([h[0] for h in held], np.int64)
             return pa.RecordBatch.from_pydict(
                 {"part": [held[0][3]], "seq": [seq], "ids": [ids.tobytes()], "weights": [np.array([h[2] for h in held], np.int64).tobytes()], "raw": [b"".join(raw)], "lo": [p.min(0).tolist()], "hi": [p.max(0).tolist()]}
@@ -191,7 +198,7 @@ def _join(classes: DataFrame, dim: int, cosine: float, scratch: Scratch, kind: s
         for whole in batches:
             for i in range(whole.num_rows):
                 r = {n: whole.column(n)[i].as_py() for n in ("a", "b", "ia", "ib", "wa", "wb", "ra", "rb")}
-                yield _compare(r, dim, cosine)
+                yield _compare(r, dim, number, cosine)
 
     both = pairs.join(left, "a").join(right, "b").mapInArrow(compared, "kind int, x long, y long")
     both = scratch.save(both, "links")
@@ -202,11 +209,11 @@ def spark_frame(like: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return like.sparkSession.createDataFrame(pd.DataFrame(offsets, columns=["part", "offset"]))
 
 
-def _compare(r: dict, dim: int, cosine: float) -> pa.RecordBatch:
+def _compare(r: dict, dim: int, number: str, cosine: float) -> pa.RecordBatch:
     """Rows (0, id, weighted number of links) and (1, id, id) of a spanning forest of a block pair's links."""
     ia, ib = np.frombuffer(r["ia"], np.int64), np.frombuffer(r["ib"], np.int64)
     wa, wb = np.frombuffer(r["wa"], np.int64), np.frombuffer(r["wb"], np.int64)
-    a, b = _scaled(np.frombuffer(r["ra"]).reshape(-1, dim)), _scaled(np.frombuffer(r["rb"]).reshape(-1, dim))
+    a, b = _scaled(_vectors([r["ra"]], dim, number)), _scaled(_vectors([r["rb"]], dim, number))
     near = a @ b.T >= cosine
     same = r["a"] == r["b"]
     if same:
