@@ -194,7 +194,8 @@ def _judged(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     gone = rows.join(counted, "hash").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("hash").alias("gone"))
     gone = scratch.save(gone, "gone")
     scratch.drop(rows, counted)
-    named = seen.drop("anchors").join(first, key, "left").withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False)))
+    # Written, so that nothing above the join keeps adaptive execution from splitting a large group of copies.
+    named = scratch.save(seen.drop("anchors").join(first, key, "left").withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))), "named")
     copies = named.where("copy")
     ids = bitmap.build(gone, "doc_id")
     whole = texts.where("doc_id is not null").mapInArrow(_affected(ids), texts.schema).join(gone, "doc_id")
