@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlens.functions import ids
 
 from . import graph
 
-_BOTH = F.expr("callerResolved and calleeResolved")
-_EXACT = F.expr("callerTier = 'exact' and calleeTier = 'exact'")
-_INSIDE = F.expr("callerTier <> 'external'")
+
+def _both() -> Column:
+    return F.expr("callerResolved and calleeResolved")
+
+
+def _exact() -> Column:
+    return F.expr("callerTier = 'exact' and calleeTier = 'exact'")
+
+
+def _inside() -> Column:
+    return F.expr("callerTier <> 'external'")
 
 
 def merge(runs: DataFrame) -> DataFrame:
@@ -24,22 +32,22 @@ def merge(runs: DataFrame) -> DataFrame:
 
 def pairs(r: DataFrame) -> DataFrame:
     """Distinct (callerId, calleeId) of resolved inside edges: samples, exact, viaNative."""
-    return r.where(_INSIDE & _BOTH).groupBy("callerId", "calleeId").agg(F.sum("samples").alias("samples"), F.max(_EXACT).alias("exact"), F.max("viaNative").alias("viaNative"))
+    return r.where(_inside() & _both()).groupBy("callerId", "calleeId").agg(F.sum("samples").alias("samples"), F.max(_exact()).alias("exact"), F.max("viaNative").alias("viaNative"))
 
 
 def join_rate(r: DataFrame) -> DataFrame:
     out = r.agg(
-        F.count("*").alias("edges"), F.count_if(_INSIDE).alias("inside"), F.count_if(_INSIDE & _BOTH).alias("joined"), F.count_if(_INSIDE & _EXACT).alias("exact"),
-        F.coalesce(F.sum(F.when(_INSIDE, F.col("samples"))), F.lit(0)).alias("samples"), F.coalesce(F.sum(F.when(_INSIDE & _BOTH, F.col("samples"))), F.lit(0)).alias("joined_samples"),
+        F.count("*").alias("edges"), F.count_if(_inside()).alias("inside"), F.count_if(_inside() & _both()).alias("joined"), F.count_if(_inside() & _exact()).alias("exact"),
+        F.coalesce(F.sum(F.when(_inside(), F.col("samples"))), F.lit(0)).alias("samples"), F.coalesce(F.sum(F.when(_inside() & _both(), F.col("samples"))), F.lit(0)).alias("joined_samples"),
     )
     return out.withColumns({"joined_pct": ids.percent("joined", "inside"), "exact_pct": ids.percent("exact", "inside"), "weighted_pct": ids.percent("joined_samples", "samples")})
 
 
 def tiers(r: DataFrame) -> DataFrame:
     """(side, tier, n): endpoints by tier, and distinct frames by their last tier."""
-    out = r.where(_INSIDE).groupBy(F.lit("caller").alias("side"), F.col("callerTier").alias("tier")).agg(F.count("*").alias("n"))
+    out = r.where(_inside()).groupBy(F.lit("caller").alias("side"), F.col("callerTier").alias("tier")).agg(F.count("*").alias("n"))
     out = out.unionByName(r.groupBy(F.lit("callee").alias("side"), F.col("calleeTier").alias("tier")).agg(F.count("*").alias("n")))
-    f = r.select(F.col("calleeFrame").alias("frame"), F.col("calleeTier").alias("tier"), (F.col("ord") * 2).alias("at")).unionByName(r.where(_INSIDE).select(F.col("callerFrame").alias("frame"), F.col("callerTier").alias("tier"), (F.col("ord") * 2 + 1).alias("at")))
+    f = r.select(F.col("calleeFrame").alias("frame"), F.col("calleeTier").alias("tier"), (F.col("ord") * 2).alias("at")).unionByName(r.where(_inside()).select(F.col("callerFrame").alias("frame"), F.col("callerTier").alias("tier"), (F.col("ord") * 2 + 1).alias("at")))
     last = f.groupBy("frame").agg(F.max_by("tier", "at").alias("tier"))
     return out.unionByName(last.groupBy(F.lit("frame").alias("side"), "tier").agg(F.count("*").alias("n")))
 
@@ -97,10 +105,10 @@ def observed_static(r: DataFrame, calls: DataFrame) -> DataFrame:
 def closure_gain(r: DataFrame, calls: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, static_n, exact_n, joined_n, added): transitive callers without and with runtime edges."""
     s = static_pairs(calls).select(F.col("callerId").alias("src"), F.col("calleeId").alias("dst"))
-    edges = lambda cond: r.where(_INSIDE & cond).select(F.col("callerId").alias("src"), F.col("calleeId").alias("dst"))
+    edges = lambda cond: r.where(_inside() & cond).select(F.col("callerId").alias("src"), F.col("calleeId").alias("dst"))
     base = graph.closure(s, seeds, reverse=True)
-    exact = graph.closure(s.unionByName(edges(_EXACT)), seeds, reverse=True)
-    both = graph.closure(s.unionByName(edges(_BOTH)), seeds, reverse=True)
+    exact = graph.closure(s.unionByName(edges(_exact())), seeds, reverse=True)
+    both = graph.closure(s.unionByName(edges(_both())), seeds, reverse=True)
     size = lambda d, n: d.groupBy("seed").agg(F.count("*").alias(n))
     added = exact.join(base, ["seed", "id"], "left_anti")
     out = seeds.select("seed").distinct()

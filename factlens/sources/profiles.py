@@ -6,7 +6,7 @@ import base64
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,19 +61,20 @@ def decode_mappings(mappings: str) -> list[tuple[int, int, int, int, int]]:
 def source_map_segments(scripts: DataFrame) -> DataFrame:
     """(scriptId, gline, gcol, source, line, col) from (scriptId, text) with an inline base64 map; scripts without a readable one give no rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [("scriptId", pa.string()), ("gline", pa.int32()), ("gcol", pa.int32()), ("source", pa.string()), ("line", pa.int32()), ("col", pa.int32())]
+        for b in batches:
             rows = []
-            for sid, text in zip(pdf["scriptId"], pdf["text"], strict=True):
+            for sid, text in zip(b.column("scriptId").to_pylist(), b.column("text").to_pylist(), strict=True):
                 mark = (text or "").rfind("sourceMappingURL=data:application/json")
                 try:
-                    m = json.loads(base64.b64decode(text[mark:].split("base64,", 1)[1].strip().split()[0]))
+                    m = json.loads(base64.b64decode(text[mark:].split("base64,", 1)[1].strip().split()[0])) if mark >= 0 else {"mappings": ""}
                     rows += [(sid, g, c, m["sources"][s], ln, co) for g, c, s, ln, co in decode_mappings(m["mappings"])]
-                except (IndexError, KeyError, ValueError):
+                except (IndexError, KeyError, ValueError):  # an unreadable map gives no positions
                     continue
-            yield pd.DataFrame(rows, columns=["scriptId", "gline", "gcol", "source", "line", "col"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(names)], [n for n, _ in names])
 
-    return scripts.select("scriptId", "text").mapInPandas(run, "scriptId string, gline int, gcol int, source string, line int, col int")
+    return scripts.select("scriptId", "text").mapInArrow(run, "scriptId string, gline int, gcol int, source string, line int, col int")
 
 
 def original_positions(frames: DataFrame, segments: DataFrame) -> DataFrame:
