@@ -8,7 +8,7 @@ which costs speed and never results.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +24,17 @@ def build(keys: DataFrame, column: str, bits: int = BITS) -> Broadcast:
     spark = keys.sparkSession
 
     def positions(batches):
-        import pyarrow as pa
-
         for b in batches:
             k = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             yield pa.RecordBatch.from_pydict({"pos": np.unique(_positions(k, bits)).astype(np.int64)})
 
-    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(1 << min(_CHUNK, bits), bool)
-        out[pdf["pos"].to_numpy() & ((1 << _CHUNK) - 1)] = True
-        return pd.DataFrame({"chunk": [key[0]], "data": [np.packbits(out).tobytes()]})
+        out[table.column("pos").to_numpy() & ((1 << _CHUNK) - 1)] = True
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([np.packbits(out).tobytes()], pa.binary())})
 
     pos = keys.select(column).where(F.col(column).isNotNull()).mapInArrow(positions, "pos long").distinct()
-    rows = pos.withColumn("chunk", F.shiftright("pos", _CHUNK)).groupBy("chunk").applyInPandas(packed, "chunk long, data binary").collect()
+    rows = pos.withColumn("chunk", F.shiftright("pos", _CHUNK)).groupBy("chunk").applyInArrow(packed, "chunk long, data binary").collect()
     whole = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
         at = r.chunk << (_CHUNK - 3)

@@ -126,6 +126,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        del batch, offs
+        pa.default_memory_pool().release_unused()
 
 
 def byte_class(pattern_bytes: Callable[[int], bool]) -> np.ndarray:

@@ -79,7 +79,6 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: Sequence[int
     mark).  Chunks are of the largest capacity but for a document's last one;
     every token is in exactly one chunk.
     """
-    spark = docs.sparkSession
     top = max(capacities)
     rows = docs.select("doc_id", (byte_length() if length is None else length.cast("long")).alias("total")).where("total > 0")
     chunks = rows.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / top).cast("long"))).alias("chunk"))
@@ -96,5 +95,4 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: Sequence[int
         return out.assign(bin_id=[f"{key[0]}-{b}" for b in bins], capacity=final[bins], offset=offsets)
 
     schema = f"doc_id {kind}, chunk long, start long, n_tokens long, bin_id string, capacity long, offset long"
-    del spark
     return dealt.groupBy("shard").applyInPandas(run, schema)
