@@ -47,7 +47,7 @@ def rows_of(df):
     def plain(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>", "nan"):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
