@@ -73,7 +73,13 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: its lineage ends in replicated files."""
+        """Write ``df`` and read it back: its lineage ends in shared files.
+
+        A few files a core are enough: a task writes its partitions one after
+        another, so that its memory stays that of one, and thousands of small
+        files (each a call to the file system) are avoided.
+        """
+        df = df.coalesce(max(3 * self.spark.sparkContext.defaultParallelism, 8))
         path = f"{shared_dir(self.spark)}/{self.name}-{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
