@@ -1 +1,11 @@
-"""A PySpark-native analytics engine for facts about software systems."""
+"""A PySpark-native analytics engine for facts about software systems.
+
+Functions that run on executors are pickled by value, so that executors need
+not have the package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,7 +8,7 @@ matches only one to one; other buckets on both sides are ambiguous and used up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions import ids
@@ -124,3 +124,30 @@ def check_unchanged(scores: DataFrame) -> None:
     bad = scores.where("cat = 'unchanged' and scheme = 'entityId' and outcome not in ('survive', 'missing')").agg(F.sum("n")).first()[0]
     if bad:
         raise ValueError(f"{bad} unchanged records lost their entityId")
+
+
+def quality_gate(meta: DataFrame, least_files: int = 100) -> DataFrame:
+    """Commits whose extraction had no error and enough files."""
+    return meta.where(F.col("error").isNull() & (F.col("files") >= least_files)).select("sha").distinct()
+
+
+def gated(records_: DataFrame, meta: DataFrame, least_files: int = 100) -> DataFrame:
+    """Records of commits that pass the gate."""
+    return records_.join(quality_gate(meta, least_files), "sha", "left_semi")
+
+
+def rates(meta: DataFrame) -> DataFrame:
+    """Least, greatest and mean share of records that found their declaration, over commits."""
+    r = meta.where("declKeys > 0").select((100.0 * F.col("joined") / F.col("declKeys")).alias("rate"))
+    return r.agg(F.count("*").alias("commits"), F.round(F.min("rate"), 1).alias("least"), F.round(F.max("rate"), 1).alias("greatest"), F.round(F.avg("rate"), 1).alias("mean"))
+
+
+def examples(d: DataFrame, most: int = 6) -> DataFrame:
+    """The first rows of each category, by their ordinals."""
+    return d.withColumn("_n", F.row_number().over(Window.partitionBy("cat").orderBy(F.coalesce("a", "b"), "b"))).where(F.col("_n") <= most).drop("_n")
+
+
+def changing_commits(pairs: DataFrame) -> DataFrame:
+    """(cat, rows, commits) of many pairs' classified rows, with column ``child``."""
+    per = pairs.groupBy("child", "cat").agg(F.count("*").alias("n"))
+    return per.groupBy("cat").agg(F.sum("n").alias("rows"), F.count("*").alias("commits"))

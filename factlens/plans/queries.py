@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.facts import FactBase
-from factlens.operators import graph, hygiene, integrity, metrics, runtime, snapshot
+from factlens.operators import graph, hygiene, integrity, lenses, metrics, runtime, snapshot
 from factlens.operators import relations as rel
 
 from .testbed import Testbed
@@ -113,6 +113,18 @@ def _frames(t: Testbed) -> DataFrame:
     return runtime.resolve_frames(frames, functions, t["declaration"])
 
 
+def _contract(t: Testbed) -> DataFrame:
+    allowed = t.spark.createDataFrame([(str(a), str(b)) for a in range(10) for b in range(10) if (a + b) % 3], "from_layer string, to_layer string")
+    return lenses.contract_violations(t.facts(), F.regexp_extract("file", r"([0-9])\.ts$", 1), allowed)
+
+
+def _overrides(t: Testbed) -> DataFrame:
+    fb = t.facts()
+    member = fb["declaration"].where("entityType in ('function', 'method')")
+    more = member.withColumn("entityId", F.concat("entityId", F.lit(".run"))).withColumn("entityType", F.lit("method"))
+    return lenses.override_edges(FactBase({**{k: fb[k] for k in fb.kinds}, "declaration": fb["declaration"].unionByName(more)}))
+
+
 def _layers(t: Testbed) -> DataFrame:
     return metrics.layer_edges(t.facts(), F.col("from_layer") != F.col("to_layer"))
 
@@ -191,6 +203,16 @@ _OPS: dict[str, Callable[[Testbed], DataFrame]] = {
     "distinct_events": lambda t: snapshot.distinct_events(_diff(t), _raw(t, "a"), _raw(t, "b"), SCHEMES),
     "blind_spots": lambda t: snapshot.blind_spots(_diff(t), _raw(t, "a"), _raw(t, "b")),
     "snapshot_join_rate": lambda t: snapshot.join_rate(_raw(t, "a"), _raw(t, "b").withColumnRenamed("type", "entityType")),
+    # Lenses
+    "symbol_usages": lambda t: lenses.usages(t.facts(), "f7"),
+    "confident_calls": lambda t: rel.entity_calls(lenses.confident(t.facts(), 0.85), "calls", "instantiates"),
+    "contradictions": lambda t: lenses.contradictions(t["calls"], t["runtime"]),
+    "preferred_edges": lambda t: lenses.preferred(t["calls"], t["runtime"]),
+    "dead_code": lambda t: lenses.dead_code(t.facts()),
+    "impact_endpoints": lambda t: lenses.endpoints(t.facts(), _seeds(t.facts())),
+    "contract_violations": _contract,
+    "override_edges": _overrides,
+    "recovered_architecture": lambda t: lenses.recovered_architecture(t.facts()),
     # Runtime
     "runtime_merge": _runtime_merge,
     "runtime_pairs": lambda t: runtime.pairs(t["runtime"]),

@@ -40,8 +40,12 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` and read it back, which cuts its lineage and survives lost executors."""
+    """Write ``df`` and read it back, which cuts its lineage and survives lost executors.
+
+    A few files a core are enough: a task writes its partitions one after another.
+    """
     spark = df.sparkSession
+    df = df.coalesce(max(3 * spark.sparkContext.defaultParallelism, 8))
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ from .typescript import Node, parse
 
 RAW = (
     "kind string, file string, ord long, id string, name string, entityType string, exported boolean, structureId string, contentId string, "
-    "callerId string, callerKind string, ctx string, line int, local string, spec string, imported string, member string, reason string"
+    "callerId string, callerKind string, ctx string, line int, local string, spec string, imported string, member string, reason string, fp string, n int"
 )
 _COLUMNS = [c.split()[0] for c in RAW.split(", ")]
 
@@ -143,6 +143,19 @@ class FileFacts:
         h = lambda s: hashlib.sha256(s.encode()).hexdigest()[:16]
         return {"structureId": f"struct:sha256:{h(body)}", "contentId": f"content:sha256:{h(json.dumps(name) + chr(0) + body)}"}
 
+    def body(self, n: Node) -> dict:
+        """For matching versions: a hash of the body in which the own name is masked wherever it stands, and its nodes."""
+        own, parts, count = (n.name or "default").rpartition(".")[2], [], 0
+        for k in n.walk():
+            count += 1
+            parts.append(k.kind)
+            if k.name is not None:
+                parts.append("$SELF" if k.name == own else k.name)
+            if k.text is not None:
+                parts.append(k.text)
+            parts.append(str(len(k.kids)))
+        return {"fp": hashlib.sha1(" ".join(parts).encode()).hexdigest()[:16], "n": count}
+
     # ------------------------------------------------------------------ scopes
 
     def bind(self) -> None:
@@ -238,7 +251,7 @@ class FileFacts:
         names = {"default"} if "default" in n.flags else {n.name} if "export" in n.flags else set()
         if top:
             names |= exported.get(n.name or "", set())
-        self.put("declaration", id=e, entityType=self.type_of(n), name=q, exported=bool(names) and (top or "export" in n.flags), **self.fingerprint(n, q))
+        self.put("declaration", id=e, entityType=self.type_of(n), name=q, exported=bool(names) and (top or "export" in n.flags), **self.fingerprint(n, q), **self.body(n))
         self.put("contains", id=e)
         if top:
             for name in names:
@@ -483,6 +496,19 @@ def extract(files: DataFrame, local_references: bool = False, unique_members: bo
     return fb
 
 
+#: Entity types whose versions are matched.
+MATCHED = ("class", "interface", "type", "enum", "function", "constructor", "method", "accessor", "property", "variable")
+
+
+def snapshot_records(files: DataFrame, types: tuple[str, ...] = MATCHED) -> DataFrame:
+    """Records for ``operators.snapshot`` of (sha, path, text) files: file, name, type, fp, n, ord and the id columns, by sha."""
+    raw = raw_facts(files.select(F.concat("sha", F.lit("\n"), "path").alias("path"), "text"))
+    d = raw.where("kind = 'declaration' and fp is not null").where(F.col("entityType").isin(*types))
+    at = F.split("file", "\n", 2)
+    clean = F.regexp_replace("id", "^ts:[^:]*:", "")
+    return d.select(at[0].alias("sha"), at[1].alias("file"), "name", F.col("entityType").alias("type"), "fp", "n", "ord", F.concat(F.lit("ts:"), ids.slug(at[1]), F.lit(":"), clean).alias("entityId"), "structureId", "contentId")
+
+
 def wide(fb: FactBase) -> DataFrame:
     """All relations as one wide table with ``kind`` and ``ord``, ready to be written."""
     out = None
