@@ -70,7 +70,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
-        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: its lineage ends in shared files.
@@ -83,7 +82,6 @@ class Scratch:
         path = f"{shared_dir(self.spark)}/{self.name}-{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._factlens_scratch = path
         return out
 
