@@ -19,6 +19,7 @@ result; an empty table gives an empty result; other columns may have any name.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -33,6 +34,8 @@ from .common import slices
 KINDS = ("email", "ip", "card", "phone")
 #: A segment is of so many tokens at most (bounds the work for each token).
 MAX_TOKENS = 20
+#: So many tokens before a segment can hold a cue word.
+CUE_TOKENS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -105,21 +108,36 @@ _CUES = {
     "card": 2, "visa": 2, "mastercard": 2, "credit": 2, "payment": 2, "tel": 3, "phone": 3, "call": 3, "mobile": 3, "fax": 3, "cell": 3,
 }
 _DOTS = {"dot", "punkt", "point", "punto"}
-N_FEATURES = 34
+#: Labels joined by plain or spelled-out dots, from behind the at; and a further label.
+_SEP = r"(?:\.|(?:\s?[\[({<]\s?|\s)(?i:dot|punkt|point|punto)(?:\s?[\])}>]\s?|\s))"
+_LABELS = re.compile(rf"[\])}}>\s]*[A-Za-z0-9-]+(?:{_SEP}[A-Za-z0-9-]+)+")
+_FURTHER = re.compile(rf"{_SEP}[A-Za-z0-9]")
+N_FEATURES = 36
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Where candidates can be: tokens with a digit or at-sign, spelled-out ats, and a token on either side."""
+    """Where candidates can be, in whole tokens: those with a digit or at-sign and spelled-out ats, as many tokens
+    on either side as a segment with them can have, and the tokens before it that hold cue words."""
     spots = [m.span() for m in _SPOT.finditer(text)]
-    spots += [(max(0, m.start() - 1), min(len(text), m.end() + 1)) for m in _AT.finditer(text)] if "at" in text or "AT" in text else []
+    spots += [m.span() for m in _AT.finditer(text)]
+    if not spots:
+        return []
+    starts, ends = zip(*(m.span() for m in _TOKEN.finditer(text)), strict=True)
+    broken = lambda k: ends[k - 1] + 1 < starts[k] or ends[k - 1] < starts[k] and text[ends[k - 1]] != " "
     out: list[list[int]] = []
     for s, e in sorted(spots):
-        s, e = max(0, s - 24), min(len(text), e + 24)
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
+        first, last = bisect.bisect_right(ends, s), bisect.bisect_left(starts, e) - 1
+        lo, hi = first, last
+        while lo > max(0, first - MAX_TOKENS + 1) and not broken(lo):
+            lo -= 1
+        while hi + 1 < min(len(starts), last + MAX_TOKENS) and not broken(hi + 1):
+            hi += 1
+        lo = max(0, lo - CUE_TOKENS)
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
         else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+            out.append([lo, hi])
+    return [(starts[lo], ends[hi]) for lo, hi in out]
 
 
 def segments(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.ndarray]]]:
@@ -181,6 +199,8 @@ def _whole(text: str, toks: list, words: list, low: list, i: int, j: int, nd: in
         f[6] = at > i and at + 1 < j
         f[7] = sum(e2 - s2 for s2, e2 in zip((t[1] for t in toks[at + 1 : j - 1]), (t[0] for t in toks[at + 2 : j]), strict=True)) == 0
         f[8] = min(sum(1 for k in range(i, at) if toks[k + 1][0] > toks[k][1] and words[k] not in "([{<" and words[k + 1] not in "([{<@" and low[k + 1] != "at"), 3)
+        f[34] = _LABELS.fullmatch(text, toks[at][1], e) is not None
+        f[35] = _FURTHER.match(text, e) is not None
     digits = "".join(groups)
     f[9], f[10], f[11], f[12], f[13] = nd < 7, 7 <= nd <= 8, 9 <= nd <= 11, 12 <= nd <= 15, 16 <= nd <= 19
     f[14] = nd > 19
@@ -201,7 +221,7 @@ def _whole(text: str, toks: list, words: list, low: list, i: int, j: int, nd: in
     right = text[e] if e < len(text) else " "
     f[27] = left.isalnum() or left in "@._%+-#="
     f[28] = right.isalnum() or right in "@_%+#" or right in ".-" and e + 1 < len(text) and text[e + 1].isalnum()
-    cue = [_CUES[w] for w in low[max(0, i - 3) : i] if w in _CUES]
+    cue = [_CUES[w] for w in low[max(0, i - CUE_TOKENS) : i] if w in _CUES]
     for k in cue:
         f[29 + k] = 1
     f[33] = (j - i) / MAX_TOKENS

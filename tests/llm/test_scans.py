@@ -139,6 +139,26 @@ def test_the_field_finds_disguised_data_and_leaves_text_alone():
     assert pii.find("nothing here, at all, in 1999 or on page 12.", m) == ([], [])
 
 
+def test_long_spelled_out_addresses_are_found_whole():
+    m = pii.trained()
+    for address in (
+        "jane.doe [at] research.example [dot] org",
+        "jane.doe at universityofsomewhere dot edu",
+        "alexandra.montgomery-smithson at example dot com",
+        "alexandra.montgomery-smithson [at] example [dot] example [dot] org",
+        "alexandra.montgomery-smithson [at] informatics [dot] universityofsomewhere [dot] edu",
+    ):
+        for text in (address, f"please write to {address} today"):
+            s = text.index(address)
+            assert pii.find(text, m) == ([], [(s, s + len(address), 0)])
+    text = "x" * 60 + " " + "y" * 60 + " 12 " + "z" * 60 + "  apart"
+    assert pii.regions(text) == [(0, text.index("  apart"))]
+    words = " ".join(f"w{'x' * 30}" for _ in range(60))
+    (lo, hi), = pii.regions(f"{words} a@b {words}")
+    assert f" {words} a@b {words} "[lo] == f" {words} a@b {words} "[hi + 1] == " "
+    assert f"{words} a@b {words}"[lo:hi].count("w") == pii.MAX_TOKENS * 2 - 2 + pii.CUE_TOKENS
+
+
 def test_spans_and_redaction(spark, docs_of, odd):
     text = "é mail a.b@c.de or 1.2.3.4, card 4111 1111 1111 1111, call +49 (30) 1234567!"
     docs = docs_of([(20, text), *odd])
