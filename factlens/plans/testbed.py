@@ -49,15 +49,15 @@ UNION ALL SELECT DISTINCT 'module:' || {_file("u")}, 'module', {_file("u")}, {_f
     "calls": f"""
 SELECT {_who("src")} AS callerId, {_NAME.format(u="dst")} AS calleeName, CASE WHEN kind = 'signup' THEN NULL ELSE {_target("dst")} END AS calleeId,
  CAST(CASE WHEN kind = 'signup' THEN 0.3 WHEN v > 200 THEN 0.9 ELSE 0.8 END AS DOUBLE) AS confidence, CASE WHEN kind = 'signup' THEN 'unresolved' WHEN v > 200 THEN 'resolved' ELSE 'resolved_method' END AS reason,
- CASE WHEN src % 37 = 0 THEN 'module' WHEN src % 4 = 2 THEN 'variable' ELSE 'function' END AS callerKind, {_file("src")} AS file, line, ord FROM {{steps}} WHERE kind IN ('error', 'signup') AND v > 120""",
+ CASE WHEN src % 37 = 0 THEN 'module' WHEN src % 4 = 2 THEN 'variable' ELSE 'function' END AS callerKind, {_file("src")} AS file, line, ord FROM {{steps}} WHERE kind IN ('error', 'signup')""",
     "instantiates": f"""
 SELECT {_who("src")} AS callerId, {_NAME.format(u="dst")} AS className, {_target("dst")} AS classId, CAST(0.9 AS DOUBLE) AS confidence, 'resolved' AS reason,
- 'function' AS callerKind, {_file("src")} AS file, line, ord FROM {{steps}} WHERE kind = 'purchase' AND v > 120""",
+ 'function' AS callerKind, {_file("src")} AS file, line, ord FROM {{steps}} WHERE kind = 'purchase'""",
     "refs": f"""
 SELECT {_who("src")} AS callerId, {_NAME.format(u="dst")} AS name, CASE WHEN k % 10 = 9 THEN NULL ELSE {_target("dst")} END AS targetId,
  CASE k % 6 WHEN 0 THEN 'value' WHEN 1 THEN 'type' WHEN 2 THEN 'typeof' WHEN 3 THEN 'shorthand' WHEN 4 THEN 'export' ELSE 'jsx' END AS ctx,
  CAST(CASE WHEN k % 10 = 9 AND ord % 3 = 0 THEN 0.5 WHEN k % 10 = 9 THEN 0.3 ELSE 0.95 END AS DOUBLE) AS confidence, CASE WHEN k % 10 = 9 THEN 'unresolved' ELSE 'resolved' END AS reason,
- 'function' AS callerKind, {_file("src")} AS file, line, ord FROM {{steps}} WHERE kind = 'view' AND v > 60""",
+ 'function' AS callerKind, {_file("src")} AS file, line, ord FROM {{steps}} WHERE kind = 'view'""",
     "heritage": """
 SELECT 'implements' AS kind, 'supplier:' || CAST(s_suppkey AS STRING) AS childId, 'nation' AS parentName, 'nation:' || CAST(s_nationkey AS STRING) AS parentId, s_suppkey AS ord FROM {supplier}
 UNION ALL SELECT 'extends', 'customer:' || CAST(c_custkey AS STRING), 'nation', CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE 'nation:' || CAST(c_nationkey AS STRING) END, c_custkey FROM {customer}
@@ -65,16 +65,16 @@ UNION ALL SELECT 'extends', 'nation:' || CAST(n_nationkey AS STRING), 'region',
 UNION ALL SELECT 'extends', 'user:' || CAST(u AS STRING), 'C' || CAST((u + 3) % 7 AS STRING) || '.f' || CAST(u + 3 AS STRING), 'user:' || CAST(u + 3 AS STRING), u FROM {users} WHERE u % 5 = 0""",
     "imports": f"""
 SELECT {_file("src")} AS importerFile, CASE WHEN ord % 11 = 0 THEN 'external:pkg' || CAST(ord % 5 AS STRING) WHEN ord % 7 = 0 THEN 'src/index' || CAST(dst % 5 AS STRING) || '.ts' ELSE {_file("dst")} END AS exportedBy,
- {_NAME.format(u="dst")} AS importedName, CASE ord % 5 WHEN 0 THEN 'default' WHEN 1 THEN 'namespace' WHEN 3 THEN 'type-named' ELSE 'named' END AS importType, ord FROM {{steps}} WHERE kind = 'click' AND v > 60""",
+ {_NAME.format(u="dst")} AS importedName, CASE ord % 5 WHEN 0 THEN 'default' WHEN 1 THEN 'namespace' WHEN 3 THEN 'type-named' ELSE 'named' END AS importType, ord FROM {{steps}} WHERE kind = 'click'""",
     "reexport": f"""
 SELECT CASE WHEN ord % 4 < 2 THEN 'src/index' || CAST(src % 5 AS STRING) || '.ts' ELSE {_file("src")} END AS barrel, {_file("dst")} AS source,
- CASE WHEN ord % 2 = 0 THEN NULL ELSE {_NAME.format(u="dst")} END AS reexportedName, ord FROM {{steps}} WHERE kind = 'click' AND v > 150 AND ord % 3 <> 0""",
+ CASE WHEN ord % 2 = 0 THEN NULL ELSE {_NAME.format(u="dst")} END AS reexportedName, ord FROM {{steps}} WHERE kind = 'click'""",
     "runtime": f"""
 SELECT ord % 4 AS run, ord, CASE WHEN k % 12 = 11 THEN 'external:workload' ELSE {_who("src")} END AS callerId, {_target("dst")} AS calleeId, CAST(floor(v) AS BIGINT) + 1 AS samples, ord % 6 = 0 AS viaNative,
  k % 9 < 8 AND k % 12 <> 11 AS callerResolved, k % 8 < 7 AS calleeResolved,
  CASE WHEN k % 12 = 11 THEN 'external' WHEN k % 9 = 8 THEN 'none' WHEN src % 37 = 0 THEN 'module' WHEN k % 3 < 2 THEN 'exact' ELSE 'enclosing' END AS callerTier,
  CASE WHEN k % 8 = 7 THEN 'none' WHEN k % 5 < 3 THEN 'exact' WHEN k % 5 = 3 THEN 'line' ELSE 'enclosing' END AS calleeTier,
- 'f' || CAST(src % 30 AS STRING) AS callerFrame, 'f' || CAST(dst % 30 AS STRING) AS calleeFrame FROM {{steps}} WHERE kind IN ('error', 'purchase', 'view') AND v > 80""",
+ 'f' || CAST(src % 30 AS STRING) AS callerFrame, 'f' || CAST(dst % 30 AS STRING) AS calleeFrame FROM {{steps}} WHERE kind IN ('error', 'purchase', 'view')""",
     "snap_a": "SELECT lang AS file, 'o.d' || CAST(doc_id AS STRING) AS name, CASE WHEN doc_id % 3 = 0 THEN 'function' ELSE 'class' END AS type, md5(substr(text, 1, 8)) AS fp, n_chars AS n, doc_id AS ord, lang || ':d' || CAST(doc_id AS STRING) AS entityId, md5(substr(text, 1, 8)) AS structureId, md5(lang || substr(text, 1, 8)) AS contentId FROM {documents}",
     "snap_b": """
 SELECT file, name, type, fp, n, ord, file || ':' || name AS entityId, fp AS structureId, CASE WHEN ord % 17 = 0 THEN NULL ELSE md5(file || fp) END AS contentId FROM (
