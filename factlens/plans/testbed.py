@@ -75,13 +75,13 @@ SELECT ord % 4 AS run, ord, CASE WHEN k % 12 = 11 THEN 'external:workload' ELSE
  CASE WHEN k % 12 = 11 THEN 'external' WHEN k % 9 = 8 THEN 'none' WHEN src % 37 = 0 THEN 'module' WHEN k % 3 < 2 THEN 'exact' ELSE 'enclosing' END AS callerTier,
  CASE WHEN k % 8 = 7 THEN 'none' WHEN k % 5 < 3 THEN 'exact' WHEN k % 5 = 3 THEN 'line' ELSE 'enclosing' END AS calleeTier,
  'f' || CAST(src % 30 AS STRING) AS callerFrame, 'f' || CAST(dst % 30 AS STRING) AS calleeFrame FROM {{steps}} WHERE kind IN ('error', 'purchase', 'view')""",
-    "snap_a": "SELECT lang AS file, 'o.d' || CAST(doc_id AS STRING) AS name, CASE WHEN doc_id % 3 = 0 THEN 'function' ELSE 'class' END AS type, md5(substr(text, 1, 8)) AS fp, n_chars AS n, doc_id AS ord, lang || ':d' || CAST(doc_id AS STRING) AS entityId, md5(substr(text, 1, 8)) AS structureId, md5(lang || substr(text, 1, 8)) AS contentId FROM {documents}",
+    "snap_a": "SELECT lang AS file, 'o.d' || CAST(doc_id AS STRING) AS name, CASE WHEN doc_id % 3 = 0 THEN 'function' ELSE 'class' END AS type, md5(text) AS fp, n_chars AS n, doc_id AS ord, lang || ':d' || CAST(doc_id AS STRING) AS entityId, md5(text) AS structureId, md5(lang || text) AS contentId FROM {documents}",
     "snap_b": """
 SELECT file, name, type, fp, n, ord, file || ':' || name AS entityId, fp AS structureId, CASE WHEN ord % 17 = 0 THEN NULL ELSE md5(file || fp) END AS contentId FROM (
  SELECT CASE WHEN doc_id % 10 IN (3, 4) THEN lang || '_m' ELSE lang END AS file,
   CASE WHEN doc_id % 10 IN (2, 4) THEN 'o.d' || CAST(doc_id AS STRING) || 'r' WHEN doc_id % 10 = 6 THEN 'p@fn' || CAST(doc_id % 3 AS STRING) || '.d' || CAST(doc_id AS STRING) WHEN doc_id % 10 = 8 AND doc_id % 4 = 0 THEN 'q.d' || CAST(doc_id AS STRING) ELSE 'o.d' || CAST(doc_id AS STRING) END AS name,
-  CASE WHEN doc_id % 3 = 0 THEN 'function' ELSE 'class' END AS type, CASE WHEN doc_id % 10 = 1 THEN md5('x' || substr(text, 1, 8)) ELSE md5(substr(text, 1, 8)) END AS fp, n_chars AS n, doc_id AS ord FROM {documents} WHERE doc_id % 10 <> 5
- UNION ALL SELECT lang, 'n.d' || CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN 'function' ELSE 'class' END, md5('n' || substr(text, 1, 8)), n_chars, doc_id + 100000000 FROM {documents} WHERE doc_id % 10 = 7
+  CASE WHEN doc_id % 3 = 0 THEN 'function' ELSE 'class' END AS type, CASE WHEN doc_id % 10 = 1 THEN md5('x' || text) ELSE md5(text) END AS fp, n_chars AS n, doc_id AS ord FROM {documents} WHERE doc_id % 10 <> 5
+ UNION ALL SELECT lang, 'n.d' || CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN 'function' ELSE 'class' END, md5('n' || text), n_chars, doc_id + 100000000 FROM {documents} WHERE doc_id % 10 = 7
 ) x""",
     "profile": "SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL ELSE turn - 1 END AS parent, role = 'user' AS corpus, role || CAST(conv_id % 4 AS STRING) || ':' || CAST(turn AS STRING) AS frame, CAST(length(text) AS BIGINT) AS hits FROM {conversations}",
     "source_files": """
