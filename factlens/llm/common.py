@@ -65,6 +65,19 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def files_for(df: DataFrame, least: int) -> int:
+    """How many files to write at most: one for each split's worth of what is read, ``least`` for small tables.
+
+    So tasks grow with the input and each does the work of about one split,
+    while small tables don't become hundreds of files (each a few calls to the
+    file system) where a plan has many empty partitions.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return min(max(least, -(-read // max(split, 1))), 1 << 30)
+
+
 class Scratch:
     """Tables written once into the shared folder; ``drop`` removes one early."""
 
@@ -72,13 +85,8 @@ class Scratch:
         self.spark, self.name = spark, name
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: its lineage ends in shared files.
-
-        A few files a core are enough: a task writes its partitions one after
-        another, so that its memory stays that of one, and thousands of small
-        files (each a call to the file system) are avoided.
-        """
-        df = df.coalesce(max(3 * self.spark.sparkContext.defaultParallelism, 8))
+        """Write ``df`` and read it back: its lineage ends in shared files."""
+        df = df.coalesce(files_for(df, 2 * self.spark.sparkContext.defaultParallelism))
         path = f"{shared_dir(self.spark)}/{self.name}-{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
