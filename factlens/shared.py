@@ -39,13 +39,18 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` and read it back, which cuts its lineage and survives lost executors.
+def files_for(df: DataFrame, least: int) -> int:
+    """How many files to write at most: one for each split's worth of what is read, ``least`` for small tables."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return min(max(least, -(-read // max(split, 1))), 1 << 30)
+
 
-    A few files a core are enough: a task writes its partitions one after another.
-    """
+def save(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    df = df.coalesce(max(3 * spark.sparkContext.defaultParallelism, 8))
+    df = df.coalesce(files_for(df, spark.sparkContext.defaultParallelism))
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
