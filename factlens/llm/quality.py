@@ -6,6 +6,9 @@ statistics; each partition sums its part of the normal equations, the driver
 solves one small system, and pooled adjacent violators over a fixed number of
 score bins turn ridge scores into probabilities.
 
+Scale: one narrow pass; a slice of texts takes some 30 bytes a text byte for a
+moment, a very long text as much for itself.
+
 Defined results: a null text counts as an empty one and is scored like it; a
 null doc_id is never a training row and is not held out; rows repeated in
 ``docs`` are each scored; ids with several labels train once per label row;
@@ -16,13 +19,16 @@ untouched and may have any name.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACED, Scratch, held_out, slices, string_buffers, words
 
@@ -140,9 +146,11 @@ def isotonic(centres: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.nd
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
-        s = statistics(b.column("text"))
-        stats = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, N_STATS), pa.int32()), pa.array(s.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), stats], ["doc_id", "stats"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(statistics(b.column("text")))], ["doc_id", "stats"])
+
+
+def _lists(stats: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, N_STATS), pa.int32()), pa.array(stats.ravel()))
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "stats") -> np.ndarray:
@@ -230,14 +238,24 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns.
+
+    Rows are written once with their statistics, which are fitted on and scored
+    from there; texts aren't looked at again.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.save(features(docs), "stats")
-    model = fit(stats, labels, label, scratch)
-    scratch.drop(stats)
+    tag = f"__stats_{uuid.uuid4().hex}"
+    base = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            yield b.filter(pa.array(model.score(statistics(b.column("text"))) >= threshold))
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(statistics(b.column("text")))], [*b.schema.names, tag])
+
+    held = scratch.save(docs.mapInArrow(run, T.StructType([*base.fields, T.StructField(tag, T.ArrayType(T.DoubleType()))])), "held")
+    model = fit(held.select("doc_id", F.col(tag).alias("stats")), labels, label, scratch)
+
+    @F.pandas_udf("boolean")
+    def good(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(stats.to_list())) >= threshold if len(stats) else [], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return held.where(good(F.col(tag))).drop(tag)

@@ -31,8 +31,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", sha, "contaminated")
 
 
-def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+def op4_pack(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), token_count.load_pieces(model))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,6 +318,7 @@ def test_token_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(token_count, "REMEMBERED", 3)
     c = token_count.Counter([("<unk>", 0.0), ("▁", -1.0), ("a", -1.0)])
     assert c.count("a aa aaa aaaa aaaaa") == 5 + 15 and len(c.seen) <= 3
+    assert c.counts(pa.array(["", None, "a", "", " ", "\n", "a  a", ""], pa.string())).tolist() == [0, 0, 2, 0, 1, 2, 5, 0]
 
 
 def lcs(a, b):
