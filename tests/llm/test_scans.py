@@ -335,21 +335,76 @@ def test_alignment_equals_the_longest_common_subsequence():
     g = np.random.default_rng(0)
     for _ in range(300):
         a, b = g.integers(0, 6, g.integers(1, 15)), g.integers(0, 6, g.integers(1, 25))
-        n, s, e = license_scan.align(a, b, -len(a), len(b))
-        assert n == lcs(a, b) and (n == 0 or (0 <= s < e <= len(b) and lcs(a, b[s:e]) == n))
+        got = license_scan.align(a, b, -len(a), len(b))
+        assert len(got) == lcs(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
+def hashed(text):
+    return common.words(pa.array([text]), common.ALNUM, lower=True).hash
+
+
+def edited(rng, words, rate):
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [] if x < rate / 3 else [w, prose(rng, 1)] if x < 2 * rate / 3 else [prose(rng, 1)] if x < rate else [w]
+    return out
+
+
+def test_matches_equal_the_longest_common_subsequence(rng):
+    """One template, edited at random: the place is found, with the coverage that brute force measures."""
+    for name, full in license_scan.TEMPLATES.items():
+        if len(full.split()) < 30:
+            continue
+        index = license_scan.build_index({name: full})
+        tpl = re.findall(WORD, lower(full))
+        for rate in (0.0, 0.04, 0.08, 0.12):
+            body = edited(rng, tpl, rate)
+            text = f"{prose(rng, 30)} {' '.join(body)} {prose(rng, 30)}"
+            want = lcs(tpl, re.findall(WORD, text))
+            got = license_scan.matches(hashed(text), index, 0.8)
+            if want >= 0.84 * len(tpl):
+                assert len(got) == 1, (name, rate, want / len(tpl))
+            for _, cover, s, e in got:
+                assert want - 3 <= round(cover * len(tpl)) <= want and 27 <= s <= 36 and abs(e - s - len(body)) <= 6
+        assert license_scan.matches(hashed(" ".join(reversed(tpl))), index, 0.8) == []
+        half = len(tpl) // 2
+        assert license_scan.matches(hashed(" ".join(tpl[half:] + prose(rng, 40).split() + tpl[:half])), index, 0.8) == []
+
+
+@pytest.mark.parametrize("n", [15, 25, 60])
+def test_words_put_in_do_not_part_a_license(rng, n):
+    for name in ("MIT", "BSD-3-Clause", "GPL-3.0-header"):
+        w = TEMPLATES[name].split()
+        text = " ".join([*w[:50], *prose(rng, min(n, len(w) // 2 - 3)).split(), *w[50:]])
+        got = license_scan.matches(hashed(text), license_scan.build_index(TEMPLATES), 0.8)
+        assert [(license_scan.build_index(TEMPLATES).names[x[0]], x[1]) for x in got] == [(name, 1.0)]
 
 
 def test_licenses(spark, docs_of, rng, odd):
     mit = TEMPLATES["MIT"]
     changed = mit.replace("Software", "Program", 3).replace("without restriction", "with no restriction at all")
-    rows = [*odd, (20, f"{prose(rng, 40)}\n{mit}\n{prose(rng, 10)}"), (21, changed), (22, " ".join(mit.split()[:60])), (23, "Released under the MIT License. Licensed under CC BY-NC 4.0. And CC BY."), (24, mit + "\n" + prose(rng, 300) + "\n" + mit)]
+    rows = [*odd, (20, f"{prose(rng, 40)}\n{mit}\n{prose(rng, 10)}"), (21, changed), (22, " ".join(mit.split()[:60])), (24, mit + "\n" + prose(rng, 300) + "\n" + mit), (25, mit + "\n" + mit)]
+    rows += [(23, "This is under the MIT License. We share it under CC BY-NC 4.0. And CC BY. And under the Apache License, Version 1.1, or under the terms of no License.")]
+    rows += [(30 + k, TEMPLATES[x]) for k, x in enumerate(TEMPLATES)]
     got = [(r.doc_id, r.license, r.coverage, r.start_word, r.end_word) for r in license_scan.scan(docs_of(rows)).orderBy("doc_id", "start_word").collect()]
-    assert [x[:2] for x in got] == [(20, "MIT"), (21, "MIT"), (23, "MIT-notice"), (23, "CC-BY-NC-4.0-notice"), (24, "MIT"), (24, "MIT")]
+    assert [x[:2] for x in got if x[0] < 30] == [(20, "MIT"), (21, "MIT"), (23, "MIT-notice"), (23, "CC-BY-NC-4.0-short"), (24, "MIT"), (24, "MIT"), (25, "MIT"), (25, "MIT")]
+    assert [x[:3] for x in got if x[0] >= 30] == [(30 + k, x, 1.0) for k, x in enumerate(TEMPLATES)]
     n = len(re.findall(WORD, lower(mit)))
     assert got[0][2:] == (1.0, 40, 40 + n) and 0.8 <= got[1][2] < 1
     assert license_scan.scan(docs_of([])).count() == 0
 
 
+def test_one_phrase_again_and_again_is_no_license():
+    import time
+
+    index = license_scan.build_index(TEMPLATES)
+    t = time.perf_counter()
+    assert license_scan.matches(hashed("permission is hereby granted free of charge " * 3000), index, 0.8) == []
+    assert time.perf_counter() - t < 20
+
+
 def test_winnowing_hits_every_shared_run():
     g = np.random.default_rng(2)
     index = license_scan.build_index(TEMPLATES)
