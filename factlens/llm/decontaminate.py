@@ -2,19 +2,25 @@ r"""Benchmark decontamination with suffix arrays of the training texts.
 
 Each shard (a few MB of documents) gets a suffix array over its words; every
 test suffix's window is found in it by binary search, which yields all places
-where the passage occurs verbatim.  Overlapping places merge into the longest
-matches.  Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
+where it occurs verbatim.  From the first place that no match of the same item
+holds yet, the match is extended as far as item and document agree (of several
+places in the item the longest): the longest verbatim matches, with their places
+in both.  Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 
 Scale: documents are read in one narrow pass, without a shuffle.  The test set
 is sent to executors in blocks of at most ``BLOCK_WORDS`` words on average, cut
-by a hash of the item; with several blocks the pass is repeated and spans add
-up.  An item of fewer words than the window, but not none, is one window.
+by a hash of the item (its windows take 52 bytes a word, words and indexes some
+30 more: 80 MB a block).  With several blocks the documents are numbered and
+written once, each block's pass returns numbers and finds only, and those are put
+together for each document.  An item of fewer words than the window, but not
+none, is one window.
 
 Defined results: a null or empty text has no words, no hits and isn't
-contaminated; null or wordless items match nothing; a null item_id counts as
-the text 'null'; several texts under one item_id are all that item's; repeated
-rows each get their own result; empty tables give no hits or an empty result;
-extra columns are kept and may have any name.
+contaminated; a very long text is a shard by itself; null or wordless items match
+nothing; a null item_id counts as the text 'null'; several texts under one
+item_id are all that item's, and places count within each text; repeated rows
+each get their own result; empty tables give no hits or an empty result; extra
+columns are kept, and may have any name if ``tag`` keeps the new ones apart.
 """
 
 from __future__ import annotations
@@ -31,40 +37,41 @@ from pyspark.sql import types as T
 
 from .common import ALNUM, Scratch, slices, words
 
-#: Words of the test set that are held in memory at once, about 100 MB with their indexes.
-BLOCK_WORDS = 2_000_000
+#: Words of the test set that are held in memory at once.
+BLOCK_WORDS = 1_000_000
 SHARD_BYTES = 1_500_000
 
 
 @dataclass
 class Windows:
-    """The test set's windows of one length: word numbers, and the item each belongs to."""
+    """The test set's windows of one length: word numbers, and the text each belongs to."""
 
     length: int
     ids: np.ndarray
-    item: np.ndarray
+    text: np.ndarray
 
 
 @dataclass
 class TestBlock:
     vocabulary: np.ndarray
     windows: list[Windows]
+    #: Of each text: its item, and its words as numbers.
     items: list[str]
+    texts: list[np.ndarray]
 
 
 def test_block(items: list[str], hashes: list[np.ndarray], window: int) -> TestBlock:
     vocab = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    texts = [(np.searchsorted(vocab, h) + 1).astype(np.int32) for h in hashes]
     by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
-    for k, h in enumerate(hashes):
-        if len(h):
-            ids = np.searchsorted(vocab, h).astype(np.int64) + 1
+    for k, ids in enumerate(texts):
+        if len(ids):
             m = min(window, len(ids))
-            w = np.unique(np.lib.stride_tricks.sliding_window_view(ids, m), axis=0)
-            by_length.setdefault(m, []).append((w, k))
+            by_length.setdefault(m, []).append((np.unique(np.lib.stride_tricks.sliding_window_view(ids, m), axis=0), k))
     out = []
     for m, found in sorted(by_length.items()):
-        out.append(Windows(m, np.concatenate([w for w, _ in found]), np.concatenate([np.full(len(w), k) for w, k in found])))
-    return TestBlock(vocab, out, items)
+        out.append(Windows(m, np.concatenate([w for w, _ in found]), np.concatenate([np.full(len(w), k, np.int32) for w, k in found])))
+    return TestBlock(vocab, out, items, texts)
 
 
 def numbered(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
@@ -140,8 +147,28 @@ class SuffixArray:
         return lo
 
 
-def scan_shard(arr: pa.Array, block: TestBlock, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words in each text; text, first word and end of every place found; item of each place)."""
+def longest(seq: np.ndarray, places: np.ndarray, text: np.ndarray, m: int) -> list[tuple[int, int, int]]:
+    """(place in the text, first, end) of the longest matches, from the sorted places in ``seq`` of the text's windows of m words."""
+    out, end = [], -1
+    for a in places.tolist():
+        if a + m <= end:
+            continue
+        same = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(text, m) == seq[a : a + m]).all(1)) if len(text) > m else np.zeros(1, np.int64)
+        best, at = 0, 0
+        for p in same.tolist():
+            x, y = text[p + m :], seq[a + m : a + len(text) - p]
+            n = min(len(x), len(y))
+            off = np.flatnonzero(x[:n] != y[:n])
+            n = m + (int(off[0]) if len(off) else n)
+            if n > best:
+                best, at = n, p
+        end = a + best
+        out.append((at, a, end))
+    return out
+
+
+def scan_shard(arr: pa.Array, block: TestBlock, window: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, list[tuple[str, int, int, int]]]]]:
+    """(words in each text; for texts with hits: the words hit as runs, and (item, place in it, first, end) of each match)."""
     w = words(arr, ALNUM, lower=True)
     n = len(w.ptr) - 1
     doc = np.repeat(np.arange(n), np.diff(w.ptr))
@@ -150,7 +177,7 @@ def scan_shard(arr: pa.Array, block: TestBlock, window: int) -> tuple[np.ndarray
     seq[np.arange(len(w.hash)) + doc] = numbered(w.hash, block.vocabulary)
     first = w.ptr[:-1] + np.arange(n)
     array = SuffixArray(seq, len(block.vocabulary), window)
-    at, length, item = [], [], []
+    at, length, text = [], [], []
     for group in block.windows:
         lo, hi = array.find(group.ids)
         many = hi - lo
@@ -159,25 +186,58 @@ def scan_shard(arr: pa.Array, block: TestBlock, window: int) -> tuple[np.ndarray
             base = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many)
             at.append(array.order[base + np.arange(total)])
             length.append(np.full(total, group.length))
-            item.append(np.repeat(group.item, many))
+            text.append(np.repeat(group.text, many))
     if not at:
-        z = np.zeros(0, np.int64)
-        return np.diff(w.ptr), z, z, z, z
-    at, length, item = np.concatenate(at), np.concatenate(length), np.concatenate(item)
+        return np.diff(w.ptr), {}
+    at, length, text = np.concatenate(at), np.concatenate(length), np.concatenate(text)
     d = np.searchsorted(first, at, side="right") - 1
-    return np.diff(w.ptr), d, at - first[d], at - first[d] + length, item
-
-
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping or touching spans united: the longest verbatim matches."""
+    order = np.lexsort((at, text, d))
+    at, length, text, d = at[order], length[order], text[order], d[order]
+    found: dict[int, tuple[np.ndarray, list]] = {}
+    cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+    for a, z in zip(cuts, [*cuts[1:], len(d)], strict=True):
+        i, base = int(d[a]), int(first[d[a]])
+        parts = np.flatnonzero(np.concatenate(([True], text[a + 1 : z] != text[a : z - 1]))) + a
+        out = []
+        for x, y in zip(parts, [*parts[1:], z], strict=True):
+            t = int(text[x])
+            out += [(block.items[t], p, s - base, e - base) for p, s, e in longest(seq, at[x:y], block.texts[t], int(length[x]))]
+        found[i] = (united(at[a:z] - base, at[a:z] - base + length[a:z]), sorted(out))
+    return np.diff(w.ptr), found
+
+
+def united(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(first, end) of the words that any of the spans holds, as rows."""
     order = np.argsort(start, kind="stable")
     s, e = start[order], np.maximum.accumulate(end[order])
     new = np.concatenate(([True], s[1:] > e[:-1]))
-    return s[new], e[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(s) - 1]))]
+    return np.column_stack([s[new], e[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(s) - 1]))]])
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_MATCHES = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("item_start", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def _found(column: pa.Array, block: TestBlock, window: int) -> tuple[list[pa.Array], np.ndarray]:
+    """Arrow columns n_words, n_hit, items, matches, spans of a batch's texts; the rows that have hits."""
+    n_words, found = scan_shard(column, block, window)
+    n = len(n_words)
+    hit, items, matches, spans = np.zeros(n, np.int64), [[]] * n, [[]] * n, [[]] * n
+    for i, (u, m) in found.items():
+        hit[i] = int((u[:, 1] - u[:, 0]).sum())
+        items[i] = sorted({x[0] for x in m})
+        matches[i] = [dict(zip(("item", "item_start", "start", "end"), x, strict=True)) for x in m]
+        spans[i] = [{"start": s, "end": e} for s, e in u.tolist()]
+    span = [("start", pa.int64()), ("end", pa.int64())]
+    kinds = (pa.list_(pa.string()), pa.list_(pa.struct([("item", pa.string()), ("item_start", pa.int64()), *span])), pa.list_(pa.struct(span)))
+    return [pa.array(n_words.astype(np.int64)), pa.array(hit), *(pa.array(x, k) for x, k in zip((items, matches, spans), kinds, strict=True))], np.array(sorted(found), np.int64)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, tag: str = "") -> DataFrame:
-    """``docs`` with the columns n_words, n_hit, starts, ends (word spans) and items, each after ``tag``."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, tag: str = "", texts: bool = True) -> DataFrame:
+    """``docs`` (but for ``text`` unless ``texts``) with n_words, n_hit, items and matches, each after ``tag``.
+
+    A match is (item, item_start, start, end), counted in words.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "benchmark")
 
@@ -191,62 +251,52 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, tag: str = "")
     tests = scratch.save(tests.mapInArrow(hashed, "item_id string, h binary, n long").where("n > 0").distinct(), "hashed")
     total = tests.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    names = [f"{tag}{c}" for c in ("n_words", "n_hit", "starts", "ends", "items")]
-    kinds = [T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())]
-    base = docs.schema
-    schema = T.StructType([*base.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
-    out = docs
-    for k in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(blocks)) == k).collect()
-        block = test_block([r.item_id for r in rows], [np.frombuffer(r.h, np.uint64) for r in rows], window)
+
+    def block_of(k: int) -> TestBlock:
+        rows = tests.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(blocks)) == k).orderBy("item_id", "h").collect()
+        return test_block([r.item_id for r in rows], [np.frombuffer(r.h, np.uint64) for r in rows], window)
+
+    new = [T.StructField(f"{tag}{n}", k) for n, k in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("matches", _MATCHES))]
+    base = [f for f in docs.schema.fields if texts or f.name != "text"]
+    if blocks == 1:
+        block = block_of(0)
 
         # Spark broadcasts a function's closure when it is large.
-        def run(batches: Iterator[pa.RecordBatch], block: TestBlock = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", SHARD_BYTES):
-                yield _scanned(b, block, window, names, len(base.fields))
-
-        last, out = out, out.mapInArrow(run, schema)
-        if k:
-            out = scratch.save(out, "scanned")
-            scratch.drop(last)
-        elif blocks > 1:
-            out = scratch.save(out, "scanned")
-    return out
+                own = [c for n, c in zip(b.schema.names, b.columns, strict=True) if texts or n != "text"]
+                yield pa.RecordBatch.from_arrays([*own, *_found(b.column("text"), block, window)[0][:4]], [f.name for f in (*base, *new)])
+
+        return docs.mapInArrow(run, T.StructType([*base, *new]))
+    row = f"__row_{uuid.uuid4().hex}"
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    parts = None
+    for k in range(blocks):
 
+        def each(batches: Iterator[pa.RecordBatch], block: TestBlock = block_of(k), all_: bool = k == 0) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text", SHARD_BYTES):
+                columns, hits = _found(b.column("text"), block, window)
+                out = pa.RecordBatch.from_arrays([b.column("row"), columns[0], *columns[2:]], ["row", "n_words", "items", "matches", "spans"])
+                yield out if all_ else out.take(pa.array(hits))
 
-def _scanned(b: pa.RecordBatch, block: TestBlock, window: int, names: list[str], base: int) -> pa.RecordBatch:
-    n_words, doc, start, end, item = scan_shard(b.column("text"), block, window)
-    n = b.num_rows
-    spans = [(np.zeros(0, np.int64),) * 2] * n
-    items: list[list[str]] = [[] for _ in range(n)]
-    if b.num_columns > base:
-        old = [b.column(base + 2 + k).to_pylist() for k in range(3)]
-        spans = [(np.array(s, np.int64), np.array(e, np.int64)) for s, e in zip(old[0], old[1], strict=True)]
-        items = [list(x) for x in old[2]]
-    order = np.argsort(doc, kind="stable")
-    cut = np.searchsorted(doc[order], np.arange(n + 1))
-    hit = np.zeros(n, np.int64)
-    for i in range(n):
-        own = order[cut[i] : cut[i + 1]]
-        s, e = spans[i]
-        if len(own):
-            s, e = merged(np.concatenate([s, start[own]]), np.concatenate([e, end[own]]))
-            items[i] = sorted({*items[i], *(block.items[k] for k in np.unique(item[own]))})
-            spans[i] = (s, e)
-        hit[i] = int((e - s).sum())
-    ptr = pa.array(np.concatenate(([0], np.cumsum([len(s) for s, _ in spans]))), pa.int32())
-    lists = [pa.ListArray.from_arrays(ptr, pa.array(np.concatenate([x[k] for x in spans]) if n else [], pa.int64())) for k in range(2)]
-    own_columns = [*b.columns[:base], pa.array(n_words.astype(np.int64)), pa.array(hit), *lists, pa.array(items, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(own_columns, [*b.schema.names[:base], *names])
+        schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", _MATCHES), T.StructField("spans", _SPANS)])
+        part = scratch.save(rows.select(F.col(row).alias("row"), "text").mapInArrow(each, schema), "found")
+        parts = part if parts is None else parts.unionByName(part)
+    joined = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    got = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), joined("items").alias("items"), joined("matches").alias("matches"), joined("spans").alias("spans"))
+    step = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(a["end"], x["start"]))).alias("n"))
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    got = got.select(F.col("row").alias(row), F.col("n_words").alias(f"{tag}n_words"), F.aggregate("spans", zero, step)["n"].alias(f"{tag}n_hit"), F.array_distinct("items").alias(f"{tag}items"), F.col("matches").alias(f"{tag}matches"))
+    return rows.select(row, *(F.col(f"`{f.name}`") for f in base)).join(got, row).drop(row)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, starts, ends, contaminated for each row of ``docs``.
+    """doc_id, n_words, n_hit, n_items, items, matches, contaminated for each row of ``docs``.
 
     A document is contaminated if it has hits and they are ``percent`` of its words at least.
     """
-    out = scan(docs.select("doc_id", "text"), benchmark, window)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "starts", "ends", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
+    out = scan(docs.select("doc_id", "text"), benchmark, window, texts=False)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "matches", ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from corpus_helpers import prose
+from pyspark.sql import functions as F
 
 from factlens.llm import common, decontaminate, license_scan, pii, queries, token_count
 from factlens.llm.license_texts import TEMPLATES
@@ -51,9 +52,34 @@ def test_contamination_equals_brute_force(spark, docs_of, rng, odd, monkeypatch,
     bench = spark.createDataFrame([(*x, "x") for x in items], "item_id long, text string, n_words string")
     got = decontaminate.contamination(docs_of(rows), bench).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(r.items), r.contaminated) for r in got) == brute_hits(rows, items)
+    by_doc, by_item = {}, {}
+    for i, t in rows:
+        by_doc.setdefault(str(i), []).append(re.findall(WORD, lower(t)))
+    for i, t in items:
+        by_item.setdefault(str(i) if i is not None else "null", []).append(re.findall(WORD, lower(t)))
     for r in got:
-        assert sum(e - s for s, e in zip(r.starts, r.ends)) == r.n_hit and r.n_items == len(r.items)
-        assert all(e < s for e, s in zip(r.ends, r.starts[1:]))
+        assert r.n_items == len(r.items) and {m.item for m in r.matches} == set(r.items)
+        held = set()
+        for m in r.matches:
+            held.update(range(m.start, m.end))
+            ok = [(d, x) for d in by_doc[str(r.doc_id)] for x in by_item[m.item] if d[m.start : m.end] == x[m.item_start : m.item_start + m.end - m.start] and len(d[m.start : m.end]) == m.end - m.start]
+            # It can't be longer, and is a window at least.
+            assert any(d[m.end : m.end + 1] != x[m.item_start + m.end - m.start :][:1] or m.end == len(d) for d, x in ok) and any(m.end - m.start >= min(13, len(x)) for _, x in ok)
+        assert len(held) == r.n_hit
+
+
+def test_matches_of_items_side_by_side(spark, docs_of, rng):
+    a, b = prose(rng, 40), " ".join(f"w{k}" for k in range(30))
+    w = a.split()
+    bench = spark.createDataFrame([("a", a), ("b", b), ("c", "the " * 40)], "item_id string, text string")
+    text = " ".join([*w[5:25], *b.split()[:20], "gap", *w[:15], *["the"] * 60])
+    docs = docs_of([(1, text)]).withColumn("n_words", F.lit("x"))
+    got = [r for r in decontaminate.contamination(docs, bench).collect()[0].matches if r.item != "c"]
+    assert [(m.item, m.item_start, m.start, m.end) for m in got] == [("a", 0, 41, 56), ("a", 5, 0, 20), ("b", 0, 20, 40)]
+    the = [(m.item_start, m.start, m.end) for m in decontaminate.contamination(docs, bench).collect()[0].matches if m.item == "c"]
+    assert the == [(0, 56, 96), (0, 84, 116)]
+    tagged = decontaminate.scan(docs, bench, tag="x_")
+    assert tagged.columns == [*docs.columns, "x_n_words", "x_n_hit", "x_items", "x_matches"] and tagged.collect()[0].n_words == "x"
 
 
 def test_keep_clean(spark, docs_of, rng):
