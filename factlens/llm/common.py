@@ -68,13 +68,16 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
 def files_for(df: DataFrame, least: int) -> int:
     """How many files to write at most: one for each split's worth of what is read, ``least`` for small tables.
 
-    So tasks grow with the input and each does the work of about one split,
-    while small tables don't become hundreds of files (each a few calls to the
+    So tasks grow with the input and each does the work of about one split (a
+    plan that explodes lists counts for more), while small tables don't become hundreds of files (each a few calls to the
     file system) where a plan has many empty partitions.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
     read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if "Generate explode" in plan.toString():
+        read *= 16
     return min(max(least, -(-read // max(split, 1))), 1 << 30)
 
 

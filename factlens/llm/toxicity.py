@@ -3,24 +3,28 @@ r"""Toxicity by maximum-scoring segments over token log-odds.
 Tokens are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.  Document
 frequencies in toxic and clean labelled texts, with a Dirichlet prior from the
 frequencies in the whole corpus, give each token a log-odds; its lower
-confidence bound, less a margin, is its score, and any other token costs ``COST``.  Word stems
-(the first 4 and 6 bytes) are counted beside whole tokens, so that inflected
-forms share their evidence; a token scores the best of the three.  A linear
-scan (Ruzzo and Tompa) finds all maximal segments.  Segment scores become
-E-values by the extreme-value law of maximal segments (lambda solved from the
-clean token distribution, K fitted on clean texts); their significance, summed
-over a document's segments, passes through a one-variable logistic fit.
-
-Scale: one narrow pass counts tokens of all documents (summed within each task
-before the shuffle), one scores them.  The lexicon has at most ``vocabulary``
-tokens and the labelled sample at most ``max_rows`` rows, both parameters.
+confidence bound, less a margin, is its score, and any other token costs
+``COST``.  Word stems (the first 4 and 6 bytes) are counted beside whole tokens,
+so that inflected forms share their evidence; a token scores the best of the
+three, in steps of ``STEP``.  A linear scan (Ruzzo and Tompa) finds all maximal
+segments.  By the extreme-value law of maximal segments a text of n tokens has
+K n exp(-lambda S) segments of score S by chance; lambda and K are solved from the
+scores that tokens have in clean labelled texts that the lexicon wasn't made from
+(Karlin and Altschul).  What
+these E-values fall below 1, as logarithms summed over a document's segments,
+passes through a one-variable logistic fit.
+
+Scale: labelled rows are copied out once, ``max_rows`` at most; all tokens of the
+toxic ones among them take part, so their number is bounded by the sample, and
+so is what is broadcast and collected.  One narrow pass counts those tokens in
+all documents (summed within each task before the shuffle), one scores them.
 
 Defined results: a null text counts as empty; a text without tokens has no
-evidence and the lowest score; a null doc_id is never a training row; an id
-with several labels counts as toxic if any is 1; null labels are ignored;
-without labels of both kinds every score is 0; rows repeated in ``docs`` are
-each scored; an empty table gives an empty result; other columns may have any
-name.
+evidence and the lowest score; a very long text is scored whole; ids may be of
+any type; a null doc_id is never a training row; an id with several labels counts
+as toxic if any is 1, and each of its rows trains; null labels are ignored;
+without labels of both kinds every score is 0; rows repeated in ``docs`` are each
+scored; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Scratch, held_out, prefix_hashes, signed, slices, words
+from .common import ALNUM, Scratch, Words, held_out, prefix_hashes, signed, slices, words
 
 #: What a token outside the lexicon takes off a segment.
 COST = 0.15
 #: Bytes of the stems that are counted beside a token.
 STEMS = (4, 6)
-_HELD = 600_000
+#: Scores are multiples of it (and so is COST): the extreme-value law is solved on this lattice.
+STEP = 0.05
 
 
 @dataclass
@@ -49,8 +54,7 @@ class ToxicModel:
     tokens: np.ndarray
     scores: np.ndarray
     lam: float = 1.0
-    #: Where too few clean texts have segments to fit it, a value typical of texts of some hundred tokens.
-    log_k: float = -6.0
+    log_k: float = 0.0
     slope: float = 0.0
     offset: float = -1e9
     known: bool = field(default=False)
@@ -81,27 +85,26 @@ def maximal_segments(at: list[int], score: list[float], cost: float = COST) -> l
     return [(int(a), int(b), r - le) for a, b, le, r in found]
 
 
-def _token_scores(w, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(w: Words) -> tuple[np.ndarray, ...]:
+    return (w.hash, *(prefix_hashes(w, k) for k in STEMS))
+
+
+def _place(sorted_: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each hash is in the sorted ones, whether it is)."""
+    k = np.searchsorted(sorted_, h)
+    k[k == len(sorted_)] = 0
+    return k, sorted_[k] == h if len(sorted_) else np.zeros(len(h), bool)
+
+
+def _token_scores(w: Words, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
     """(places, scores) of the lexicon's tokens in the slice."""
-    if not len(model.tokens) or not len(w.hash):
-        return np.zeros(0, np.int64), np.zeros(0)
     best = np.zeros(len(w.hash))
-    for h in (w.hash, *(prefix_hashes(w, k) for k in STEMS)):
-        k = np.searchsorted(model.tokens, h)
-        k[k == len(model.tokens)] = 0
-        best = np.maximum(best, np.where(model.tokens[k] == h, model.scores[k], 0))
+    if len(model.tokens):
+        for h in _hashes(w):
+            k, ok = _place(model.tokens, h)
+            best = np.maximum(best, np.where(ok, model.scores[k], 0))
     at = np.flatnonzero(best)
-    if not len(at):
-        return at, best[at]
-    # A word that a text repeats counts half as much each time, as frequencies are of documents.
-    doc = np.searchsorted(w.ptr, at, side="right") - 1
-    order = np.lexsort((at, w.hash[at], doc))
-    d, h = doc[order], w.hash[at][order]
-    new = np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    again = np.empty(len(at))
-    again[order] = np.arange(len(at)) - first
-    return at, best[at] * 0.5 ** np.minimum(again, 30)
+    return at, best[at]
 
 
 def _segments_of(arr: pa.Array, model: ToxicModel) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
@@ -117,113 +120,163 @@ def _segments_of(arr: pa.Array, model: ToxicModel) -> Iterator[tuple[int, int, l
         yield d, int(w.ptr[d + 1] - w.ptr[d]), maximal_segments((at[a:b] - w.ptr[d]).tolist(), s[a:b].tolist())
 
 
-def _lambda(p: np.ndarray, s: np.ndarray, cost: float) -> float:
-    """The positive root of sum(p * exp(lambda * s)) = 1 over the clean distribution."""
-    rest = max(1 - p.sum(), 1e-9)
-    f = lambda x: float((p * np.exp(np.minimum(x * s, 500))).sum() + rest * np.exp(-x * cost) - 1)
-    lo, hi = 1e-6, 1e-6
-    while f(hi) < 0 and hi < 64:
-        lo, hi = hi, max(2 * hi, 1e-3)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return hi
+def extreme_value(score: np.ndarray, p: np.ndarray, cost: float = COST) -> tuple[float, float]:
+    """(lambda, ln K) of maximal segments in sequences whose tokens have ``score`` with probability ``p``, else -cost.
+
+    lambda is the positive root of E[exp(lambda X)] = 1; K comes from the random
+    walk's partial sums (Karlin and Altschul's lattice form).  Where the mean is
+    not below 0, so that there is no root, lambda is 0: no segment is significant.
+    """
+    x = np.concatenate([np.round(score / STEP), [-round(cost / STEP)]]).astype(np.int64)
+    q = np.concatenate([p, [max(1 - p.sum(), 0)]])
+    if not (x[q > 0] > 0).any():
+        return 1.0, 0.0
+    if (q * x).sum() >= 0:
+        return 0.0, 0.0
+    f = lambda r: float((q * np.exp(np.minimum(r * x, 700))).sum() - 1)
+    low, high = 0.0, 1e-6
+    while f(high) <= 0:
+        low, high = high, high * 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) <= 0 else (low, mid)
+    lam = high
+    # sigma = sum over k of (P(S_k >= 0) + E[exp(lambda S_k); S_k < 0]) / k.
+    bottom, top = int(x.min()), int(x.max())
+    one = np.zeros(top - bottom + 1)
+    np.add.at(one, x - bottom, q)
+    dist, least, sigma = one, bottom, 0.0
+    for k in range(1, 401):
+        s = np.arange(least, least + len(dist))
+        term = float(dist[s >= 0].sum() + (dist[s < 0] * np.exp(lam * s[s < 0])).sum()) / k
+        sigma += term
+        if term < 1e-9:
+            break
+        dist, least = np.convolve(dist, one), least + bottom
+        live = np.flatnonzero(dist > 1e-14)
+        dist, least = dist[live[0] : live[-1] + 1], least + int(live[0])
+    span = int(np.gcd.reduce(np.abs(x[q > 0])))
+    entropy = lam * float((q * x * np.exp(lam * x)).sum())
+    k = lam * span * np.exp(-2 * sigma) / (entropy * (1 - np.exp(-lam * span)))
+    return lam / STEP, float(np.log(k))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", vocabulary: int = 50_000, max_rows: int = 50_000, strength: float = 20.0, sigmas: float = 1.5, margin: float = 1.0) -> ToxicModel:
-    """Token scores from labelled rows with crc32 mod 5 in 1, 2, 3 (4 is left for calibration) and all texts' frequencies."""
+def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 50_000, strength: float = 20.0, sigmas: float = 1.5, margin: float = 1.0) -> ToxicModel:
+    """Token scores from labelled rows with crc32 mod 5 in 1, 2, 3 and all texts' frequencies; the law from clean rows with 4.
+
+    ``max_rows`` bounds the labelled ids that are used; a hash picks them.
+    """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     lab = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
-    lab = lab.groupBy("doc_id").agg(F.max("y").alias("y")).where((F.crc32(F.col("doc_id").cast("string")) % 5).isin(1, 2, 3))
+    lab = lab.groupBy("doc_id").agg((F.max("y") > 0).alias("y"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    lab = lab.where(fold != 0).select("doc_id", "y", (fold < 4).alias("learnt"))
     n = lab.count()
     if n > max_rows:
-        # A hash picks the sample; the bound leaves room for its spread.
-        lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(0.95 * max_rows / n * (1 << 20)))
-    rows = lab.limit(max_rows).collect()
-    ids = np.array([int(r.doc_id) for r in rows], np.int64)
-    y = np.array([r.y > 0 for r in rows], bool)
-    order = np.argsort(ids)
-    sent = spark.sparkContext.broadcast((ids[order], y[order]))
+        # The bound leaves room for the hash's spread.
+        lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(0.95 * max_rows / n * (1 << 20))).limit(max_rows)
+    sample = scratch.save(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("text", "y", "learnt"), "labelled")
+    learnt = sample.where("learnt")
+    size = {r.y: r.n for r in learnt.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    none = ToxicModel(np.zeros(0, np.uint64), np.zeros(0))
+    if not size.get(True) or not size.get(False):
+        scratch.drop(sample)
+        return none
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            w = words(b.column("text"), ALNUM, lower=True)
+            y = b.column("y").to_numpy(zero_copy_only=False)
+            for want in (True, False):
+                doc, h = _distinct(w, y == want)
+                own, n = np.unique(h, return_counts=True)
+                bad = n if want else np.zeros(len(own), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(bad), pa.array(n - bad)], ["token", "bad", "good"])
+
+    seen = learnt.mapInArrow(tokens, "token long, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    got = seen.where("bad > 0").toPandas()  # a token in no toxic text can't score above 0
+    got = got.assign(h=got["token"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
+    lexicon, bad, good = got["h"].to_numpy(), got["bad"].to_numpy(float), got["good"].to_numpy(float)
+    sent = spark.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, y = sent.value
-        held: list[np.ndarray] = []
-        size = 0
-
-        def summed() -> np.ndarray:
-            x = np.concatenate(held)
-            order = np.argsort(x[:, 0], kind="stable")
-            x = x[order]
-            starts = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0])))
-            return np.column_stack([x[starts, 0], *(np.add.reduceat(x[:, k], starts) for k in (1, 2, 3))])
-
-        def batch(x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"token": x[:, 0], "n": x[:, 1], "bad": x[:, 2], "good": x[:, 3]})
-
+        held, rows = np.zeros(len(sent.value), np.int64), 0
+        for b in slices(batches, "text"):
+            rows += b.num_rows
+            _, h = _distinct(words(b.column("text"), ALNUM, lower=True), np.ones(b.num_rows, bool), sent.value)
+            held += np.bincount(h, minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1]])), pa.array(np.concatenate([held[at], [rows]]))], ["place", "n"])
+
+    every = docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    freq, total = np.zeros(len(lexicon)), float(every.loc[every["place"] < 0, "n"].sum())
+    every = every[every["place"] >= 0]
+    freq[every["place"].to_numpy()] = every["n"].to_numpy()
+    prior = 0.5 + strength * freq / total
+    odds = lambda k, n: np.log((k + prior) / (n + strength - k))
+    delta = odds(bad, size[True]) - odds(good, size[False])
+    score = delta - sigmas * np.sqrt(1 / (bad + prior) + 1 / (good + prior)) - margin
+    score = np.floor(score / STEP) * STEP
+    up = score > 0
+    model = ToxicModel(lexicon[up], score[up], known=True)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             w = words(b.column("text"), ALNUM, lower=True)
-            doc_id = b.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            k = np.searchsorted(ids, doc_id)
-            k[k == len(ids)] = 0
-            has = (ids[k] == doc_id) if len(ids) else np.zeros(len(doc_id), bool)
-            bad, good = has & y[k] if len(ids) else has, has & ~y[k] if len(ids) else has
-            parts, stems = [], [prefix_hashes(w, k) for k in STEMS]
-            for i in range(b.num_rows):
-                own = slice(w.ptr[i], w.ptr[i + 1])
-                t = np.unique(np.concatenate([w.hash[own], *(x[own] for x in stems)]))
-                t = t[t != 0]
-                parts.append(np.column_stack([signed(t), np.ones(len(t), np.int64), np.full(len(t), bad[i], np.int64), np.full(len(t), good[i], np.int64)]))
-            parts.append(np.array([[0, b.num_rows, bad.sum(), good.sum()]], np.int64))
-            held.extend(parts)
-            size += sum(map(len, parts))
-            if size > _HELD:
-                held = [summed()]
-                size = len(held[0])
-                if size > _HELD // 2:
-                    yield batch(held[0])
-                    held, size = [], 0
-        if held:
-            yield batch(summed())
-
-    counts = docs.select("doc_id", "text").mapInArrow(count, "token long, n long, bad long, good long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    scratch = Scratch(spark, "toxicity")
-    counts = scratch.save(counts.where("bad > 0"), "counts")  # a token in no toxic text can't score above 0
-    size = counts.where("token = 0").first()
-    if size is None or not size.bad or not size.good:
-        scratch.drop(counts)
-        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0))
-    prior = 0.5 + strength * F.col("n") / size.n
-    odds = lambda k, n: F.log((F.col(k) + prior) / (n + strength - F.col(k)))
-    delta = odds("bad", size.bad) - odds("good", size.good)
-    sigma = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
-    top = counts.where("token <> 0").withColumn("score", delta - sigmas * sigma - margin).where("score > 0").orderBy(F.desc("score"), "token").limit(vocabulary).collect()
-    scratch.drop(counts)
-    tokens = np.array([r.token for r in top], np.int64).view(np.uint64)
-    scores = np.array([r.score for r in top], float)
-    p = np.array([(r.good + 0.5) / (size.good + 1) for r in top], float)
-    order = np.argsort(tokens)
-    lam = 1.0
-    if len(top):
-        lam = _lambda(p / 300.0, scores, COST)  # a clean text has some hundred distinct tokens
-    return ToxicModel(tokens[order], scores[order], float(np.clip(lam, 0.3, 1.5)), known=True)
+            step, n = np.unique(np.round(_token_scores(w, model)[1] / STEP).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([step, [0]])), pa.array(np.concatenate([n, [len(w.hash) - n.sum()]]))], ["step", "n"])
+
+    apart = sample.where("not y and not learnt")
+    if apart.isEmpty():
+        apart = sample.where("not y")
+    clean = {r.step: r.n for r in apart.mapInArrow(spread, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    # One occurrence is added, shared out as the lexicon's scores are: what wasn't seen is rare, not impossible.
+    steps, own = np.unique(np.round(model.scores / STEP).astype(np.int64), return_counts=True)
+    if len(steps):
+        p = np.array([clean.get(k, 0) for k in steps.tolist()], float) + own / own.sum()
+        model.lam, model.log_k = extreme_value(steps * STEP, p / (sum(clean.values()) + 1))
+    scratch.drop(sample)
+    return model
+
+
+def _distinct(w: Words, rows: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, token) of each text's distinct tokens and stems; ``within`` sorted ones, as places in them."""
+    doc = np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr))
+    ds, hs = [], []
+    for h in _hashes(w):
+        ok = (h != 0) & rows[doc]
+        if within is not None:
+            h, has = _place(within, h)
+            ok &= has
+        ds.append(doc[ok])
+        hs.append(h[ok])
+    d, h = np.concatenate(ds), np.concatenate(hs)
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    return d[new], h[new]
 
 
 def evidence(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """(doc_id, n, levels) for each row: its tokens, and lambda * score - ln(tokens) of each maximal segment."""
+    """(doc_id, n, segments) for each row: its tokens, and the score of each maximal segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            size, levels = np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
+            size, found = np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
             for d, n, segs in _segments_of(b.column("text"), model):
-                size[d], levels[d] = n, [model.lam * s - float(np.log(max(n, 1))) for _, _, s in segs]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(levels, pa.list_(pa.float64()))], ["doc_id", "n", "levels"])
+                size[d], found[d] = n, [s for _, _, s in segs]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "n", "segments"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, levels array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, segments array<double>")
 
 
-def _summed(model: ToxicModel, cap: float) -> F.Column:
-    """Minus the log of the segments' E-values, where those are below 1, summed and capped."""
-    return F.least(F.aggregate("levels", F.lit(0.0), lambda a, x: a + F.greatest(F.lit(0.0), x - model.log_k)), F.lit(cap))
+def _summed(model: ToxicModel) -> F.Column:
+    """ln(1 + the sum of minus the log of the segments' E-values, where those are below 1)."""
+    none = model.log_k + F.log(F.greatest(F.col("n"), F.lit(1)))
+    return F.log1p(F.aggregate("segments", F.lit(0.0), lambda a, x: a + F.greatest(F.lit(0.0), model.lam * x - none)))
 
 
 def logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -241,26 +294,22 @@ def logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray, ridge: float = 1e-2)
     return float(w[0]), float(w[1])
 
 
-def calibrate(found: DataFrame, labels: DataFrame, model: ToxicModel, label: str = "toxic", cap: float = 40.0, bins: int = 400) -> ToxicModel:
-    """Fit the logistic step on rows with crc32 mod 5 = 4, from counts in a fixed number of bins."""
+def calibrate(found: DataFrame, labels: DataFrame, model: ToxicModel, label: str = "toxic", bins: int = 50) -> ToxicModel:
+    """Fit the logistic step on rows with crc32 mod 5 = 4, from counts in ``bins`` bins a unit (the sum is a logarithm, so bins are few)."""
     lab = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    # The mean of an extreme-value law lies Euler's constant above its location, which is ln K here.
-    clean = found.join(lab.where((fold == 4) & (F.col("y") <= 0)), "doc_id").where("size(levels) > 0").agg(F.avg(F.array_max("levels")).alias("m"), F.count("*").alias("n")).first()
-    if clean.n >= 20:
-        model.log_k = float(np.clip(clean.m - 0.5772156649, -12, 0))
     for want in (fold == 4, fold != 0):
         rows = found.join(lab.where(want), "doc_id")
-        hist = rows.groupBy(F.floor(_summed(model, cap) * (bins / cap)).alias("bin")).agg(F.sum((F.col("y") > 0).cast("int")).alias("pos"), F.count("y").alias("n")).orderBy("bin").collect()
+        hist = rows.groupBy(F.floor(_summed(model) * bins).alias("bin")).agg(F.sum((F.col("y") > 0).cast("int")).alias("pos"), F.count("y").alias("n")).orderBy("bin").collect()
         pos, n = np.array([r.pos for r in hist], float), np.array([r.n for r in hist], float)
         if len(hist) and 0 < pos.sum() < n.sum():
-            model.slope, model.offset = logistic(np.array([r.bin for r in hist], float) * cap / bins, pos, n)
+            model.slope, model.offset = logistic(np.array([r.bin for r in hist], float) / bins, pos, n)
             break
     return model
 
 
-def score(found: DataFrame, model: ToxicModel, threshold: float = 0.5, cap: float = 40.0) -> DataFrame:
-    x = _summed(model, cap) * model.slope + model.offset
+def score(found: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
+    x = _summed(model) * model.slope + model.offset
     p = F.when(x > -700, 1 / (1 + F.exp(-x))).otherwise(0.0) if model.known else F.lit(0.0)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

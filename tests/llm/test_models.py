@@ -136,6 +136,66 @@ def test_maximal_segments(rng):
         assert all(abs(x - sum(full[a:b])) < 1e-9 for a, b, x in got)
 
 
+def test_the_law_holds_on_simulated_sequences():
+    g = np.random.default_rng(0)
+    for score, p in (([1.0, 2.0, 3.0], [0.03, 0.01, 0.004]), ([2.5], [0.01]), ([0.5, 1.5], [0.1, 0.02])):
+        lam, log_k = toxicity.extreme_value(np.array(score), np.array(p))
+        x = [*np.array(score), -toxicity.COST]
+        assert sum(a * np.exp(lam * b) for a, b in zip([*p, 1 - sum(p)], x)) == pytest.approx(1)
+        n, best = 2000, []
+        for _ in range(1500):
+            k = np.searchsorted(np.cumsum(p), g.random(n))
+            at = np.flatnonzero(k < len(p))
+            best.append(max((s for _, _, s in toxicity.maximal_segments(at.tolist(), np.array(score)[k[at]].tolist())), default=0.0))
+        for x in np.quantile(best, [0.5, 0.8, 0.95]):
+            seen, law = np.mean(np.array(best) >= x - 1e-9), 1 - np.exp(-n * np.exp(log_k - lam * x))
+            assert abs(seen - law) < 0.12 and 0.6 < law / seen < 1.5
+    assert toxicity.extreme_value(np.array([5.0]), np.array([0.5])) == (0.0, 0.0)
+    assert toxicity.extreme_value(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+
+
+def brute_lexicon(rows, y, strength=20.0, sigmas=1.5, margin=1.0):
+    """The token scores in plain Python."""
+    import re
+
+    def own(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        return {*((x, "") for x in w), *((x.encode()[:k], k) for x in w for k in toxicity.STEMS if len(x.encode()) > k)}
+
+    freq, bad, good = defaultdict(int), defaultdict(int), defaultdict(int)
+    size = [0, 0]
+    for i, t in rows:
+        for x in own(t):
+            freq[x] += 1
+        if i in y and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            size[y[i]] += 1
+            for x in own(t):
+                (bad if y[i] else good)[x] += 1
+    out = []
+    for x, b in bad.items():
+        prior = 0.5 + strength * freq[x] / len(rows)
+        d = np.log((b + prior) / (size[1] + strength - b)) - np.log((good[x] + prior) / (size[0] + strength - good[x]))
+        s = d - sigmas * np.sqrt(1 / (b + prior) + 1 / (good[x] + prior)) - margin
+        if s >= toxicity.STEP:
+            out.append(np.floor(s / toxicity.STEP) * toxicity.STEP)
+    return sorted(out)
+
+
+def test_lexicon_equals_brute_force(spark, docs_of, rng):
+    rows, labels = labelled(spark, docs_of, rng, 300)
+    model = toxicity.fit_lexicon(docs_of(rows), labels)
+    want = brute_lexicon(rows, {r.doc_id: r.toxic for r in labels.collect()})
+    assert len(want) > 3 and np.allclose(sorted(model.scores), want, atol=1e-6)
+
+
+def test_ids_of_any_type(spark, docs_of, rng):
+    rows, labels = labelled(spark, docs_of, rng, 300)
+    docs, named = docs_of(rows), labels.withColumn("doc_id", F.col("doc_id").cast("string"))
+    for f in (quality.classify, toxicity.classify):
+        a = {str(r.doc_id): round(r.score, 9) for r in f(docs, labels).collect()}
+        assert a == {r.doc_id: round(r.score, 9) for r in f(docs.withColumn("doc_id", F.col("doc_id").cast("string")), named).collect()}
+
+
 def test_toxic_spans(spark, docs_of, rng):
     rows, labels = labelled(spark, docs_of, rng)
     docs = docs_of(rows)
