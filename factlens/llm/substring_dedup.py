@@ -16,11 +16,14 @@ of fixed size (false positives cost a shuffled row, nothing is lost).  Counting
 is a grouped minimum with map-side combining, and hot windows meet the rest in
 a plain join that adaptive execution splits.
 
-Windows are compared by 64-bit hashes; two different ones agree with
-probability 2**-64.
+Windows are compared by 64-bit polynomial hashes of word hashes, modulo 2**64
+and mixed at the end: two different ones agree with probability 2**-64 as far as
+word hashes are random (the base is odd and fixed, so texts made to collide
+could).
 
 Defined results: a null text has no words; texts shorter than a window lose
 nothing unless they repeat inside no window (equal short texts all stay); a
+very long text is cut whole; ids may be of any type, and a smaller one is one that Spark sorts first; a
 null doc_id is never removed from and removes nothing; rows that repeat a
 doc_id are judged each by its own text and don't remove from one another; an
 empty table gives an empty result; other columns may have any name.
@@ -40,6 +43,10 @@ from . import bitmap
 from .common import SPACED, Scratch, Words, gram_windows, mix, signed, slices, string_buffers, words
 
 
+#: The name of a hash of doc_id, which may be of any type, for bitmaps.
+ID_KEY = "id_key"
+
+
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     """Minimum of every k consecutive entries, by doubling."""
     span, out = 1, x
@@ -96,14 +103,14 @@ def _survey(window: int):
     return run
 
 
-def _id_keys(column: pa.Array) -> np.ndarray:
-    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+def _id_keys(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(ID_KEY).to_numpy().view(np.uint64)
 
 
 def _candidates(window: int, hot, first):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            b = b.filter(pa.array(bitmap.maybe(first.value, _id_keys(b.column("doc_id")))))
+            b = b.filter(pa.array(bitmap.maybe(first.value, _id_keys(b))))
             w = words(b.column("text"), SPACED)
             doc, _, h, low = window_hashes(w, window)
             pick = bitmap.maybe(hot.value, low)
@@ -116,7 +123,7 @@ def _candidates(window: int, hot, first):
 def _affected(ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(bitmap.maybe(ids.value, _id_keys(b.column("doc_id")))))
+            yield b.filter(pa.array(bitmap.maybe(ids.value, _id_keys(b)))).select(["doc_id", "text"])
 
     return run
 
@@ -186,8 +193,9 @@ def _judged(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     firsts = real.join(first.withColumnRenamed("first_id", "doc_id"), [*key, "doc_id"])
     shared = firsts.select("doc_id", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     hot = bitmap.build(shared, "anchor")
-    some = bitmap.build(first, "first_id")
-    rows = texts.where("doc_id is not null").mapInArrow(_candidates(window, hot, some), f"hash long, doc_id {kind}")
+    some = bitmap.build(first.select(F.xxhash64("first_id").alias(ID_KEY)), ID_KEY)
+    keyed = texts.where("doc_id is not null").withColumn(ID_KEY, F.xxhash64("doc_id"))
+    rows = keyed.mapInArrow(_candidates(window, hot, some), f"hash long, doc_id {kind}")
     rows = scratch.save(rows, "windows")
     counted = rows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
     counted = scratch.save(counted, "counted")
@@ -197,8 +205,8 @@ def _judged(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     # Written, so that nothing above the join keeps adaptive execution from splitting a large group of copies.
     named = scratch.save(seen.drop("anchors").join(first, key, "left").withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))), "named")
     copies = named.where("copy")
-    ids = bitmap.build(gone, "doc_id")
-    whole = texts.where("doc_id is not null").mapInArrow(_affected(ids), texts.schema).join(gone, "doc_id")
+    ids = bitmap.build(gone.select(F.xxhash64("doc_id").alias(ID_KEY)), ID_KEY)
+    whole = keyed.mapInArrow(_affected(ids), texts.schema).join(gone, "doc_id")
     cut = whole.mapInArrow(_cut(window), f"doc_id {kind}, n_words long, f1 long, f2 long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:long,end:long>>")
     cut = cut.join(copies.select("doc_id", *key).distinct(), ["doc_id", *key], "left_anti")
     none = hashlib.sha256(b"").hexdigest()

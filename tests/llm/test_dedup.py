@@ -168,6 +168,32 @@ def test_repeated_and_null_vector_ids(spark):
     assert got == [("1", 2, "1", True)] * 2 + [("2", 2, "1", False)] + [("3", 2, "1", False)] * 2 + [("None", 0, "None", True)]
 
 
+def test_blocks_of_other_clusters_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "TILE", 4)
+    g = np.random.default_rng(8)
+    base = g.normal(size=(24, 10))
+    rows = [(k, (base[k % 24] + g.normal(size=10) * 0.05).astype(np.float32).tolist()) for k in range(24 * 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    r = embedding_dedup.skipped(df).collect()[0]
+    assert r.dim == 10 and r.pairs == r.blocks * (r.blocks + 1) // 2 and r.compared < 0.5 * r.pairs
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == brute_vectors(rows)
+
+
+def test_ids_of_any_type(spark, docs_of, rng):
+    v, w = [1.0, 2.0], [2.0, -1.0]
+    df = spark.createDataFrame([("a", v), ("b", v), ("c", w), (None, v)], "vec_id string, embedding array<double>")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [("None", 0, "None"), ("a", 1, "a"), ("b", 1, "a"), ("c", 0, "c")]
+    text = prose(rng, 80)
+    docs = docs_of([(1, text), (2, "x " + text), (3, "y"), (None, text)])
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    for f in (substring_dedup.repeated_passages, minhash_dedup.near_duplicates):
+        a, b = ([tuple(map(str, r)) for r in f(x).orderBy("doc_id").collect()] for x in (docs, named))
+        assert a == b
+
+
 @pytest.mark.parametrize("name", ["op1_minhash", "op5_substring", "op6_embeddings"])
 def test_queries_equal_sql(same, name):
     same(queries.QUERIES[name], queries.SQL[name])
