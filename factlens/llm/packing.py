@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, string_buffers
-from .token_count import ENCODED_BYTES, Counter, plain
+from .token_count import ENCODED_BYTES, Counter, plain, shared
 
 #: Chunks that a shard holds on average.
 SHARD_CHUNKS = 20_000
@@ -139,9 +139,10 @@ def _pieces(counter: Counter, text: str, at: int, top: int) -> Iterator[tuple[in
 def chunks(docs: DataFrame, pieces: Sequence[tuple[str, float]], capacities: Sequence[int] = LENGTHS, end_mark: bool = True, byte_fallback: bool = True, texts: bool = False) -> DataFrame:
     """row (a number), doc_id, chunk, start, end (bytes of the text's UTF-8, with spaces for U+2581), n_tokens, and ``piece`` if ``texts``, of each chunk."""
     top = max(capacities)
+    counter_of = shared(docs.sparkSession, pieces, byte_fallback)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(pieces, byte_fallback)
+        counter = counter_of()
         for b in slices(batches, "text", ENCODED_BYTES):
             doc, start, end, size = cut(counter, b.column("text"), top, end_mark)
             at = np.arange(len(doc)) - np.searchsorted(doc, doc)

@@ -11,8 +11,9 @@ costs the lowest score less 10 and, with byte fallback, counts its UTF-8 bytes.
 Scale: one narrow pass.  A slice of texts becomes one Arrow array of its words
 (cut before each space, and at line feeds where no piece holds one), which
 Arrow's dictionary encoding reduces to the distinct ones; only those are looked
-up, and words that a task has met are remembered in a table of bounded size.
-The vocabulary (some ten thousand pieces) goes with the closure.
+up, and words that a worker process has met are remembered in a table of bounded
+size, from one task to the next.  The vocabulary (some ten thousand pieces) is
+broadcast.
 
 Defined results: null and empty texts have 0 tokens; a very long text, or word,
 is counted whole; a null doc_id stays null; repeated rows each get their count; an empty table gives an empty result; other
@@ -21,20 +22,20 @@ columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, string_buffers
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words that a task remembers at most, and their greatest length in bytes.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 96
+#: Words that a worker remembers at most (some 100 MB), and their greatest length in bytes.
+REMEMBERED, REMEMBERED_LENGTH = 800_000, 96
 #: Bytes of text that are encoded at once (a longer text goes alone).
 ENCODED_BYTES = 4_000_000
 
@@ -160,11 +161,26 @@ def plain(arr: pa.Array) -> pa.Array:
     return arr
 
 
+def shared(spark: SparkSession, pieces: Sequence[tuple[str, float]], byte_fallback: bool = True) -> Callable[[], Counter]:
+    """For use in tasks: the counter that the worker process keeps with the broadcast pieces."""
+    sent = spark.sparkContext.broadcast({"pieces": list(pieces)})
+
+    def get() -> Counter:
+        held = sent.value
+        if "counter" not in held:
+            held["counter"] = Counter(held["pieces"], byte_fallback)
+        return held["counter"]
+
+    return get
+
+
 def token_counts(docs: DataFrame, pieces: Sequence[tuple[str, float]], byte_fallback: bool = True) -> DataFrame:
     """(doc_id, n_tokens) for each row of ``docs``, over whole texts."""
 
+    counter_of = shared(docs.sparkSession, pieces, byte_fallback)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(pieces, byte_fallback)
+        counter = counter_of()
         for b in slices(batches, "text", ENCODED_BYTES):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counter.counts(plain(b.column("text"))))], ["doc_id", "n_tokens"])
 
