@@ -9,13 +9,16 @@ propose candidates; every link is confirmed on the full sets.
 Scale: documents with equal sets collapse into one class first, so copies cost
 one grouped minimum.  Within a band bucket no all-pairs list is made: members
 are compared with a few leaders of the bucket, what is linked is contracted,
-and only members that are still in different components are paired, after the
-exact bounds of set sizes and of distances to the leaders (the Jaccard distance
+and only members that are still in different components are paired (a large
+bucket in parts of some ``PART`` members, each against all), after the exact bounds of set sizes and of distances to the leaders (the Jaccard distance
 is a metric) and a signature bound have removed what can't be linked.
 
 A pair of similarity 0.8 shares no band with probability
 (1 - 0.8**ROWS)**BANDS, about 5e-7; more similar pairs still less.
 
+A very long text is one row of its shingles' hashes (8 bytes each) once it is a
+candidate.
+
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; a text of fewer words than a shingle has its whole
 sequence as the one element; a null doc_id is kept, in no component (null); the
@@ -40,6 +43,8 @@ PERMS = ROWS * BANDS // 2
 #: Permutations of the longer sketch, one bit a value, that bounds the similarity of what stays open.
 SKETCH_PERMS = 1024
 SKETCH_LONGS = 2 * SKETCH_PERMS // 64
+#: Members of a part of a bucket whose members are still open.
+PART = 4096
 
 _rng = np.random.default_rng(1729)
 _MUL = _rng.integers(1, 1 << 63, PERMS + SKETCH_PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,24 +187,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, leader
     # What is left: buckets that still hold several components.
     shown = in_bucket.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     shown = scratch.save(shown, "shown")
-    mixed = shown.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = shown.join(mixed, "key", "left_semi")
+    mixed = shown.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / PART).alias("parts")).where("x <> y").select("key", "parts")
+    open_ = shown.join(mixed, "key")
     dist = tried.select(F.col("b").alias("rep"), F.col("a").alias("leader"), "distance")
     for k in range(leaders):
         open_ = open_.join(dist.select("rep", F.col("leader").alias(f"l{k}"), F.col("distance").alias(f"d{k}")), ["rep", f"l{k}"], "left")
         open_ = open_.withColumn(f"d{k}", F.when(F.col("rep") == F.col(f"l{k}"), 0.0).otherwise(F.col(f"d{k}")))
     sharp = scratch.save(sets.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sketches, f"id {kind}, sketch array<long>"), "sketches")
     open_ = open_.join(reps.select("rep", "n", "bands"), ["rep", "n"]).join(sharp.withColumnRenamed("id", "rep"), "rep")
-    open_ = scratch.save(open_.select("key", "rep", "n", "component", "bands", *(f"d{k}" for k in range(leaders)), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_LONGS))), "open")
+    open_ = scratch.save(open_.select("key", "parts", "rep", "n", "component", "bands", *(f"d{k}" for k in range(leaders)), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_LONGS))), "open")
     bits = SKETCH_LONGS * 64
     # Bits differ with probability (1 - similarity) / 2; the bound lies 5.5 deviations out.
     p = (1 - percent / 100) / 2
     most = int(bits * p + 5.5 * (bits * p * (1 - p)) ** 0.5)
-    a, b = open_.alias("p"), open_.alias("q")
+    a = open_.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("p")
+    b = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("q")
     col = lambda side, name: F.col(f"{side}.{name}")
     differ = sum((F.bit_count(col("p", f"s{i}").bitwiseXOR(col("q", f"s{i}"))) for i in range(1, SKETCH_LONGS)), F.bit_count(col("p", "s0").bitwiseXOR(col("q", "s0"))))
     apart = [F.coalesce(F.abs(col("p", f"d{k}") - col("q", f"d{k}")) <= 1 - percent / 100 + 1e-9, F.lit(True)) for k in range(leaders)]
-    cond = (col("p", "key") == col("q", "key")) & (col("p", "rep") < col("q", "rep")) & (col("p", "component") != col("q", "component")) & near(col("p", "n"), col("q", "n"))
+    cond = (col("p", "key") == col("q", "key")) & (col("p", "part") == col("q", "part")) & (col("p", "rep") < col("q", "rep")) & (col("p", "component") != col("q", "component")) & near(col("p", "n"), col("q", "n"))
     for x in apart:
         cond = cond & x
     # A pair that shares several buckets is made in the first of them only.
@@ -214,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, leader
     ids = scratch.save(ids.groupBy("doc_id").agg(F.min("component").alias("component")), "ids")
     out = feats.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    scratch.drop(sets, shown, open_, tried, in_bucket, hot)
+    scratch.drop(sets, shown, open_, tried, in_bucket, hot, classes, member, sharp, more)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 

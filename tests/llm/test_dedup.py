@@ -61,7 +61,8 @@ def near_rows(rng):
 
 
 @pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates_equal_brute_force(spark, docs_of, rng, odd, k):
+def test_near_duplicates_equal_brute_force(spark, docs_of, rng, odd, k, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "PART", 2)
     rows = near_rows(rng) + [((i + 1000) if i is not None else None, t) for i, t in odd]
     got = minhash_dedup.near_duplicates(docs_of(rows), k).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_near(rows, k)
@@ -88,6 +89,22 @@ def test_keep_first_keeps_columns_and_one_of_each(spark, docs_of, rng):
     assert {str(r.doc_id) for r in kept.collect()} == want
 
 
+def test_pairs_just_above_the_threshold_are_found(spark, docs_of, rng):
+    """Recall of bands and sketch together, on planted pairs of similarity 0.80 to 0.82."""
+    rows, want = [], []
+    while len(want) < 150:
+        w = [f"u{rng.random()}" for _ in range(rng.randint(60, 200))]
+        v = list(w)
+        for at in sorted(rng.sample(range(len(w)), max(1, round(len(w) * 0.026)))):
+            v[at] = f"v{rng.random()}"
+        a, b = ({tuple(x[i : i + 4]) for i in range(len(x) - 3)} for x in (w, v))
+        if 0.8 <= len(a & b) / len(a | b) < 0.82:
+            want.append(len(rows))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs_of(rows), 4).collect()}
+    assert all(got[i + 1] == i for i in want)
+
+
 def test_empty_tables(spark, docs_of):
     none = docs_of([])
     assert minhash_dedup.near_duplicates(none).count() == 0
