@@ -10,34 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.shared import forget, save
+from factlens.shared import forget, save, together
 
 
-def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """(seed, id) reachable from each seed over (src, dst); never the seed itself, even on a cycle.
 
-    ``reverse`` walks from dst to src (who depends on the seed).
+    ``reverse`` walks from dst to src (who depends on the seed).  With ``by``,
+    columns that edges and seeds have besides, several graphs are walked in one loop.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = save(edges.where("src <> dst").select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "edges")
-    frontier = save(seeds.select("seed", F.col("seed").alias("id")).distinct(), "frontier")
+    step = save(edges.where("src <> dst").select(*by, F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "edges")
+    frontier = save(seeds.select(*by, "seed", F.col("seed").alias("id")).distinct(), "frontier")
     rounds = [frontier]
     while not frontier.isEmpty():
-        known = rounds[0]
-        for r in rounds[1:]:
-            known = known.unionByName(r)
-        found = frontier.join(step, "id").select("seed", F.col("next").alias("id")).distinct().join(known, ["seed", "id"], "left_anti")
-        frontier = save(found, "frontier")
+        found = frontier.join(step, [*by, "id"]).select(*by, "seed", F.col("next").alias("id")).distinct()
+        frontier = save(found.join(together(*rounds), [*by, "seed", "id"], "left_anti"), "frontier")
         rounds.append(frontier)
-        if len(rounds) > 8:  # fold, so that a deep graph's plan does not grow with its depth
-            whole = rounds[0]
-            for r in rounds[1:]:
-                whole = whole.unionByName(r)
-            rounds = [save(whole, "visited"), frontier.limit(0)]
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out.where("seed <> id").distinct()
+    return together(*rounds).where("seed <> id")
 
 
 def group_closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
@@ -45,11 +35,12 @@ def group_closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False) ->
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = save(edges.where("src <> dst").select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "edges")
     start = save(seeds.select("seed", "id").distinct(), "frontier")
-    visited, frontier = start, start
+    rounds, frontier = [start], start
     while not frontier.isEmpty():
-        frontier = save(frontier.join(step, "id").select("seed", F.col("next").alias("id")).distinct().join(visited, ["seed", "id"], "left_anti"), "frontier")
-        visited = save(visited.unionByName(frontier), "visited")
-    return visited.join(start, ["seed", "id"], "left_anti")
+        found = frontier.join(step, "id").select("seed", F.col("next").alias("id")).distinct()
+        frontier = save(found.join(together(*rounds), ["seed", "id"], "left_anti"), "frontier")
+        rounds.append(frontier)
+    return together(*rounds[1:]) if len(rounds) > 1 else start.limit(0)
 
 
 def all_pairs_closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
@@ -89,21 +80,22 @@ def scoped_closure(first: DataFrame, then: DataFrame, seeds: DataFrame) -> DataF
     return hop.unionByName(group_closure(then, hop, reverse=True)).distinct()
 
 
-def ancestors(tree: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, above): every node with itself and all its ancestors, by doubling; tree has (keys, node, parent)."""
-    up = save(tree.select(*keys, "node", F.col("parent").alias("above")).where("above is not null"), "up")
-    while True:
-        far = up.alias("x").join(up.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col("x.above") == F.col("y.node")]).select(*(F.col(f"x.{k}") for k in keys), F.col("x.node"), F.col("y.above"))
-        wider = save(up.unionByName(far).distinct(), "up")
-        if wider.count() == up.count():
-            break
-        up = wider
-    return up.unionByName(tree.select(*keys, "node", F.col("node").alias("above")))
-
-
 def tree_inclusive(tree: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, node, inclusive): the sum of ``value`` over each node's subtree."""
-    return ancestors(tree, keys).join(tree.select(*keys, "node", value), [*keys, "node"]).groupBy(*keys, F.col("above").alias("node")).agg(F.sum(value).alias("inclusive"))
+    """(keys, node, inclusive): the sum of ``value`` over each node's subtree; tree has (keys, node, parent).
+
+    By doubling: after k rounds a node has the sum of what lies less than 2**k
+    levels below, and points 2**k levels up.  Rounds are the log of the depth,
+    and each has one row a node.
+    """
+    state = save(tree.select(*keys, "node", F.col("parent").alias("up"), F.col(value).alias("inclusive")), "sums")
+    while not state.where("up is not null").isEmpty():
+        below = state.where("up is not null").groupBy(*keys, F.col("up").alias("node")).agg(F.sum("inclusive").alias("more"))
+        above = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("over"))
+        new = state.join(below, [*keys, "node"], "left").join(above, [*keys, "up"], "left")
+        new = save(new.select(*keys, "node", F.col("over").alias("up"), (F.col("inclusive") + F.coalesce("more", F.lit(0))).alias("inclusive")), "sums")
+        forget(state)
+        state = new
+    return state.select(*keys, "node", "inclusive")
 
 
 def collapse_tree(tree: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,29 +43,37 @@ def _evidence(fb: FactBase) -> DataFrame:
     return rel.module_calls(fb).select("src", F.col("dst").alias("target"), F.lit(0).alias("tier")).unionByName(refs)
 
 
-def first_tier(fb: FactBase) -> DataFrame:
-    """(src, dst, tier): considered import pairs and the lowest tier that clears them through re-exports; null if none."""
-    pairs = _considered(fb).where("importerFile <> exportedBy").select(F.col("importerFile").alias("src"), F.col("exportedBy").alias("dst")).distinct()
-    reach = reexport_closure(fb).select(F.col("src").alias("dst"), F.col("dst").alias("target"))
-    wide = pairs.join(reach, "dst").unionByName(pairs.withColumn("target", F.col("dst"))).distinct()
+def _pairs(fb: FactBase) -> tuple[DataFrame, DataFrame]:
+    """((src, dst) considered import pairs, (src, dst, target) with all that dst is or re-exports); walked from imported barrels only."""
+    pairs = save(_considered(fb).where("importerFile <> exportedBy").select(F.col("importerFile").alias("src"), F.col("exportedBy").alias("dst")).distinct(), "imports")
+    edges = fb["reexport"].select(F.col("barrel").alias("src"), F.col("source").alias("dst")).distinct()
+    barrels = pairs.select(F.col("dst").alias("src")).distinct().join(edges, "src", "left_semi").select(F.col("src").alias("seed"))
+    reach = graph.closure(edges, barrels).select(F.col("seed").alias("dst"), F.col("id").alias("target"))
+    return pairs, save(pairs.join(reach, "dst").select("src", "dst", "target").unionByName(pairs.withColumn("target", F.col("dst"))), "wide")
+
+
+def _first(pairs: DataFrame, wide: DataFrame, fb: FactBase) -> DataFrame:
     found = wide.join(_evidence(fb), ["src", "target"]).groupBy("src", "dst").agg(F.min("tier").alias("tier"))
     return pairs.join(found, ["src", "dst"], "left")
 
 
+def first_tier(fb: FactBase) -> DataFrame:
+    """(src, dst, tier): considered import pairs and the lowest tier that clears them through re-exports; null if none."""
+    return _first(*_pairs(fb), fb)
+
+
 def evidence_tiers(fb: FactBase) -> DataFrame:
     """(tier, considered, flagged, flagged_pct): pairs that evidence up to the tier does not clear."""
-    t = save(first_tier(fb), "tiers")
-    levels = t.sparkSession.range(4).select(F.col("id").cast("int").alias("level"))
-    one = t.groupBy("tier").agg(F.count("*").alias("n"))
-    out = F.broadcast(levels).join(one).groupBy("level").agg(F.sum("n").alias("considered"), F.sum(F.when(F.col("tier").isNull() | (F.col("tier") > F.col("level")), F.col("n")).otherwise(0)).alias("flagged"))
+    one = first_tier(fb).groupBy("tier").agg(F.count("*").alias("n"))
+    # Each count goes to the levels where it is considered: all four; a row of ``one`` is a tier.
+    out = one.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(3)))).groupBy("level").agg(F.sum("n").alias("considered"), F.sum(F.when(F.col("tier").isNull() | (F.col("tier") > F.col("level")), F.col("n")).otherwise(0)).alias("flagged"))
     return out.select(F.col("level").alias("tier"), "considered", "flagged", ids.percent("flagged", "considered").alias("flagged_pct"))
 
 
 def type_only_signatures(fb: FactBase) -> DataFrame:
     """(signature, n): pairs that only type references clear, by the sorted entity types these point at."""
-    pairs = first_tier(fb).where("tier = 3").select("src", "dst")
-    reach = reexport_closure(fb).select(F.col("src").alias("dst"), F.col("dst").alias("target"))
-    wide = pairs.join(reach, "dst").unionByName(pairs.withColumn("target", F.col("dst"))).distinct()
+    pairs, wide = _pairs(fb)
+    wide = wide.join(_first(pairs, wide, fb).where("tier = 3").select("src", "dst"), ["src", "dst"], "left_semi")
     em = rel.entity_module(fb)
     refs = fb["references"].where("ctx = 'type' and targetId is not null").select(F.col("callerId"), "targetId").distinct()
     refs = refs.join(em.select(F.col("entityId").alias("callerId"), F.col("module").alias("src")), "callerId").join(em.select(F.col("entityId").alias("targetId"), F.col("module").alias("target")), "targetId")
@@ -77,9 +85,8 @@ def type_only_signatures(fb: FactBase) -> DataFrame:
 
 def explain_evidence(fb: FactBase) -> DataFrame:
     """(src, dst, line, name): for each cleared pair the file's first reference into what the import reaches."""
-    pairs = first_tier(fb).where("tier is not null").select("src", "dst")
-    reach = reexport_closure(fb).select(F.col("src").alias("dst"), F.col("dst").alias("target"))
-    wide = pairs.join(reach, "dst").unionByName(pairs.withColumn("target", F.col("dst"))).distinct()
+    pairs, wide = _pairs(fb)
+    wide = wide.join(_first(pairs, wide, fb).where("tier is not null").select("src", "dst"), ["src", "dst"], "left_semi")
     em = rel.entity_module(fb).select(F.col("entityId").alias("targetId"), F.col("module").alias("target"))
     refs = fb["references"].join(em, "targetId").select(F.col("file").alias("src"), "target", "line", "name", "ord")
     return wide.join(refs, ["src", "target"]).groupBy("src", "dst").agg(F.min_by("line", "ord").alias("line"), F.min_by("name", "ord").alias("name"))

@@ -80,6 +80,13 @@ def top_seeds(fb: FactBase, named: Column | None = None, top: int = 5) -> DataFr
     return d.join(inbound_calls(fb), "entityId").select("entityId", "name", "n").orderBy(F.desc("n"), "entityId").limit(top)
 
 
+def first_seeds(fb: FactBase, named: Column | None = None, top: int = 3) -> DataFrame:
+    """The first entities, by ``ord``, whose last name segment satisfies ``named``."""
+    d = fb["declaration"].groupBy("entityId").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name")).withColumn("segment", ids.last_segment("name"))
+    d = d.where(named) if named is not None else d
+    return d.orderBy("ord", "entityId").limit(top).select("entityId", "name")
+
+
 def coupling(fb: FactBase, least: int = 3) -> DataFrame:
     """Import facts per module pair, where there are at least ``least``."""
     i = rel.internal_imports(fb).where("importerFile <> exportedBy")
@@ -107,17 +114,39 @@ def pure_barrels(fb: FactBase) -> DataFrame:
     return fb["reexport"].select(F.col("barrel").alias("file")).distinct().join(own_files(fb), "file", "left_anti")
 
 
+def barrel_counts(fb: FactBase, locale: str = r"(^|/)locales/") -> DataFrame:
+    """(barrels, pure, files, locale_files): re-exporting files, those without own declarations, module files, and those whose path is a locale's."""
+    barrels = fb["reexport"].select(F.col("barrel").alias("file")).distinct().withColumn("barrel", F.lit(True))
+    own = own_files(fb).withColumn("own", F.lit(True))
+    modules = fb["declaration"].where("entityType = 'module'").select("file").distinct().withColumn("module", F.lit(True))
+    all_ = barrels.join(own, "file", "full").join(modules, "file", "full")
+    return all_.agg(F.count("barrel").alias("barrels"), F.count_if(F.col("barrel") & F.col("own").isNull()).alias("pure"), F.count("module").alias("files"), F.count_if(F.col("module") & F.col("file").rlike(locale)).alias("locale_files"))
+
+
+def static_edges(fb: FactBase, caller: str = "", callee: str = "", kinds: tuple[str, ...] = ("calls", "references")) -> DataFrame:
+    """(kind, caller, target, name, file, line) of facts whose ends match the patterns (an empty one matches all)."""
+    names = {"calls": ("calleeId", "calleeName"), "instantiates": ("classId", "className"), "references": ("targetId", "name")}
+    out = None
+    for k in kinds:
+        goal, text = names[k]
+        part = fb[k].select(F.lit(k).alias("kind"), F.col("callerId").alias("caller"), F.col(goal).alias("target"), F.col(text).alias("name"), "file", "line")
+        part = part.where(F.col("caller").rlike(caller)) if caller else part
+        part = part.where(F.coalesce("target", "name").rlike(callee)) if callee else part
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def isolated_modules(fb: FactBase) -> DataFrame:
     e = rel.module_imports(fb)
     linked = e.select(F.col("src").alias("module")).union(e.select("dst")).distinct()
     return fb["declaration"].where("entityType = 'module'").select(ids.as_file("entityId").alias("module")).distinct().join(linked, "module", "left_anti")
 
 
-def layer_edges(fb: FactBase, layer: Column, layer_of=None) -> DataFrame:
-    """Import edges between layers; ``layer_of`` maps a file column to its layer (default: ``layer`` on column file)."""
+def layer_edges(fb: FactBase, wanted: Column, layer_of=None) -> DataFrame:
+    """Import edges between layers that satisfy ``wanted`` (a predicate on from_layer and to_layer); ``layer_of`` maps a file column to its layer (default: the digit that ends its name)."""
     name = layer_of or (lambda c: F.regexp_extract(c, r"([0-9])\.ts$", 1))
     e = rel.module_imports(fb).select(name(F.col("src")).alias("from_layer"), name(F.col("dst")).alias("to_layer"))
-    return e.where(layer).groupBy("from_layer", "to_layer").agg(F.count("*").alias("n"))
+    return e.where(wanted).groupBy("from_layer", "to_layer").agg(F.count("*").alias("n"))
 
 
 def dependency_density(fb: FactBase) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlens.functions import ids
+from factlens.shared import save
 
 from . import graph
 
@@ -57,11 +58,20 @@ def static_pairs(calls: DataFrame) -> DataFrame:
 
 
 def shortcuts(p: DataFrame) -> DataFrame:
-    """(callerId, calleeId) of pairs A, B with A to X to B in the graph too, X neither."""
-    a = p.select(F.col("callerId"), F.col("calleeId").alias("x"))
-    b = p.select(F.col("callerId").alias("x"), "calleeId")
-    two = a.where("callerId <> x").join(b.where("x <> calleeId"), "x").select("callerId", "calleeId").distinct()
-    return p.select("callerId", "calleeId").join(two, ["callerId", "calleeId"], "left_semi")
+    """(callerId, calleeId) of pairs A, B with A to X to B in the graph too, X neither.
+
+    X is looked for among A's callees or B's callers, whichever are fewer, so
+    that a hub in the middle isn't multiplied out.
+    """
+    p = p.select("callerId", "calleeId").distinct()
+    e = save(p.where("callerId <> calleeId"), "calls")
+    out, into = e.groupBy("callerId").agg(F.count("*").alias("down")), e.groupBy("calleeId").agg(F.count("*").alias("up"))
+    sized = save(p.join(out, "callerId").join(into, "calleeId"), "sized")
+    ahead = sized.where("down <= up").select("callerId", "calleeId").join(e.select("callerId", F.col("calleeId").alias("x")), "callerId").where("x <> calleeId")
+    ahead = ahead.join(e.select(F.col("callerId").alias("x"), "calleeId"), ["x", "calleeId"], "left_semi")
+    behind = sized.where("down > up").select("callerId", "calleeId").join(e.select(F.col("callerId").alias("x"), "calleeId"), "calleeId").where("x <> callerId")
+    behind = behind.join(e.select("callerId", F.col("calleeId").alias("x")), ["x", "callerId"], "left_semi")
+    return ahead.select("callerId", "calleeId").unionByName(behind.select("callerId", "calleeId")).distinct()
 
 
 def novelty(r: DataFrame, calls: DataFrame) -> DataFrame:
@@ -105,16 +115,14 @@ def observed_static(r: DataFrame, calls: DataFrame) -> DataFrame:
 def closure_gain(r: DataFrame, calls: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, static_n, exact_n, joined_n, added): transitive callers without and with runtime edges."""
     s = static_pairs(calls).select(F.col("callerId").alias("src"), F.col("calleeId").alias("dst"))
-    edges = lambda cond: r.where(_inside() & cond).select(F.col("callerId").alias("src"), F.col("calleeId").alias("dst"))
-    base = graph.closure(s, seeds, reverse=True)
-    exact = graph.closure(s.unionByName(edges(_exact())), seeds, reverse=True)
-    both = graph.closure(s.unionByName(edges(_both())), seeds, reverse=True)
-    size = lambda d, n: d.groupBy("seed").agg(F.count("*").alias(n))
-    added = exact.join(base, ["seed", "id"], "left_anti")
-    out = seeds.select("seed").distinct()
-    for d, n in ((base, "static_n"), (exact, "exact_n"), (both, "joined_n"), (added, "added")):
-        out = out.join(size(d, n), "seed", "left")
-    return out.fillna(0, ["static_n", "exact_n", "joined_n", "added"])
+    more = r.where(_inside()).select(F.col("callerId").alias("src"), F.col("calleeId").alias("dst"), _exact().alias("exact"), _both().alias("both"))
+    # Three graphs in one walk.
+    graphs = F.explode(F.array(F.lit("static"), F.lit("exact"), F.lit("joined")))
+    edges = s.withColumn("graph", graphs).unionByName(more.where("exact").select("src", "dst", F.lit("exact").alias("graph"))).unionByName(more.where("both").select("src", "dst", F.lit("joined").alias("graph")))
+    reach = graph.closure(edges, seeds.select("seed").distinct().withColumn("graph", graphs), reverse=True, by=("graph",))
+    held = reach.groupBy("seed", "id").agg(*(F.max(F.col("graph") == g).alias(g) for g in ("static", "exact", "joined")))
+    size = held.groupBy("seed").agg(*(F.count_if(g).alias(f"{g}_n") for g in ("static", "exact", "joined")), F.count_if(F.col("exact") & ~F.col("static")).alias("added"))
+    return seeds.select("seed").distinct().join(size, "seed", "left").fillna(0, ["static_n", "exact_n", "joined_n", "added"])
 
 
 def real_edges(r: DataFrame, exact: bool = False) -> DataFrame:

@@ -29,7 +29,26 @@ def blast_radius(fb: FactBase, seeds: DataFrame) -> DataFrame:
     return reach.join(em, "id", "left").groupBy("seed").agg(F.count("*").alias("callers"), F.count_distinct("module").alias("modules"))
 
 
-def questions(fb: FactBase, seeds: DataFrame | None = None) -> list[Answer]:
+def dispatch(fb: FactBase, pairs: DataFrame) -> DataFrame:
+    """(src, dst, src_declared, dst_declared, linked, callers): a declared method and what implements it, whether any fact joins them, and who reaches the declared one."""
+    known = fb["declaration"].select("entityId").distinct().withColumn("yes", F.lit(True))
+    n = graph.closure(rel.entity_calls(fb, "calls", "instantiates"), pairs.select(F.col("src").alias("seed")), reverse=True).groupBy(F.col("seed").alias("src")).agg(F.count("*").alias("callers"))
+    out = hygiene.link_exists(fb, pairs.select("src", "dst").distinct()).join(n, "src", "left")
+    for c in ("src", "dst"):
+        out = out.join(known.select(F.col("entityId").alias(c), F.col("yes").alias(f"{c}_declared")), c, "left")
+    return out.select("src", "dst", *(F.coalesce(f"{c}_declared", F.lit(False)).alias(f"{c}_declared") for c in ("src", "dst")), "linked", F.coalesce("callers", F.lit(0)).alias("callers"))
+
+
+def declared_members(fb: FactBase) -> DataFrame:
+    """(src, dst): members of a type, and those of the same name of what extends or implements it."""
+    member = rel.last_declaration(fb).select("entityId", F.regexp_extract("entityId", r"^(.*)\.[^.]+$", 1).alias("holder"), F.regexp_extract("entityId", r"\.([^.]+)$", 1).alias("member")).where("holder <> ''")
+    pairs = fb.heritage().where("parentId is not null").select("childId", "parentId").distinct()
+    over = pairs.join(member.select(F.col("entityId").alias("src"), F.col("holder").alias("parentId"), "member"), "parentId")
+    return over.join(member.select(F.col("entityId").alias("dst"), F.col("holder").alias("childId"), "member"), ["childId", "member"]).select("src", "dst").distinct()
+
+
+def questions(fb: FactBase, seeds: DataFrame | None = None, installed: DataFrame | None = None) -> list[Answer]:
+    """``installed`` has (src, dst) pairs of declared methods and their implementations; by default members and those that redefine them."""
     seeds = seeds if seeds is not None else metrics.top_seeds(fb).select(F.col("entityId").alias("seed"))
     verdict = {r.question: r.answered for r in integrity.question_verdicts(fb).collect()}
     heritage = fb.heritage().where("parentId is not null").select(F.col("parentId").alias("src"), F.col("childId").alias("dst"))
@@ -40,7 +59,7 @@ def questions(fb: FactBase, seeds: DataFrame | None = None) -> list[Answer]:
         ask("which modules carry the load", metrics.fan(rel.module_imports(fb), "dst", "src", top=5)),
         ask("what implements this interface", graph.closure(heritage, parents).groupBy("seed").agg(F.count("*").alias("subtypes")), "unresolved parents leave it open"),
         ask("which imports are dead weight", hygiene.dead_imports(fb), "needs calls, instantiations and references together"),
-        ask("what does a runtime-installed method dispatch to", hygiene.link_exists(fb, seeds.select(F.col("seed").alias("src"), F.col("seed").alias("dst"))), "no static fact names the method on that path: runtime facts are needed"),
+        ask("what does a runtime-installed method dispatch to", dispatch(fb, installed if installed is not None else declared_members(fb)), "no static fact names the method on that path: runtime facts are needed"),
         ask("which call edges lead nowhere", hygiene.dead_end_calls(fb), "an upper bound: the kind of the target is judged, not its body"),
     ]
 

@@ -16,9 +16,10 @@ from factlens.functions import ids
 def source_files(spark: SparkSession, root: str, glob: str = "*.ts") -> DataFrame:
     """(path, text) of files under ``root``; test directories and test files are left out, paths are relative."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    path = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), "%20", " ")
+    # Paths come as URLs; a plus sign in them stands for itself.
+    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
     out = raw.select(ids.relative(path, root).alias("path"), F.col("value").alias("text"))
-    return out.where(~F.col("path").contains("tests/") & ~F.col("path").contains(".test."))
+    return out.where(~F.col("path").rlike(r"(^|/)tests/") & ~F.col("path").contains(".test."))
 
 
 class CommitLog(DataSource):
@@ -104,7 +105,7 @@ class _SnapshotReader(DataSourceReader):
         suffix = self.options.get("suffix", ".ts")
         with tarfile.open(fileobj=io.BytesIO(subprocess.run(cmd, check=True, capture_output=True).stdout)) as tar:
             for m in tar:
-                if m.isfile() and m.name.endswith(suffix) and "tests/" not in m.name and ".test." not in m.name:
+                if m.isfile() and m.name.endswith(suffix) and "/tests/" not in f"/{m.name}" and ".test." not in m.name:
                     yield partition.value, m.name, tar.extractfile(m).read().decode("utf-8", "replace")
 
 
