@@ -48,6 +48,7 @@ DERIVED: dict[str, str] = {
     "sdiff": "SELECT * FROM {m1} UNION ALL SELECT * FROM {m2} UNION ALL SELECT * FROM {m3} UNION ALL SELECT * FROM {m4} UNION ALL SELECT 'removed', type, ord, NULL FROM {a4} UNION ALL SELECT 'added', type, NULL, ord FROM {b4}",
     "la": "SELECT ord, unnest(['entityId', 'structureId', 'contentId']) AS scheme, unnest([entityId, structureId, contentId]) AS id FROM {ra}",
     "lb": "SELECT ord, unnest(['entityId', 'structureId', 'contentId']) AS scheme, unnest([entityId, structureId, nullif(contentId0, '')]) AS id FROM {rb}",
+    "evs": "SELECT s.cat, s.scheme, s.outcome, coalesce(s.ida, s.idb) AS id, count(*) AS size, min(CASE WHEN s.a IS NOT NULL THEN s.a_in_a ELSE s.b_in_b END) AS alone, s.cat = 'removed' AND s.outcome = 'reappear' AS gone, bool_or(EXISTS (SELECT 1 FROM {scored} h WHERE h.scheme = s.scheme AND h.idb = s.ida AND h.b IS NOT NULL AND h.cat <> 'added')) AS other, min(x.n) AS nodes FROM {scored} s LEFT JOIN {ra} x ON x.ord = s.a WHERE s.outcome IN ('alias', 'reappear') GROUP BY ALL",
     "scored": """SELECT *, CASE WHEN (a IS NOT NULL AND ida IS NULL) OR (b IS NOT NULL AND idb IS NULL) THEN 'missing' WHEN a IS NOT NULL AND b IS NOT NULL AND ida = idb THEN 'survive'
  WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a_in_b > 0 THEN 'alias' ELSE 'vanish' END WHEN a IS NOT NULL THEN CASE WHEN a_in_b > 0 THEN 'reappear' ELSE 'none' END ELSE CASE WHEN b_in_a > 0 THEN 'reappear' ELSE 'none' END END AS outcome
  FROM (SELECT d.cat, s.scheme, d.a, d.b, x.id AS ida, y.id AS idb, coalesce(c1.n, 0) AS a_in_b, coalesce(c2.n, 0) AS b_in_a, coalesce(c3.n, 0) AS b_in_b, coalesce(c4.n, 0) AS a_in_a FROM {sdiff} d CROSS JOIN (SELECT unnest(['entityId', 'structureId', 'contentId']) AS scheme) s
@@ -110,6 +111,9 @@ SELECT s.ord, s.importer, s.specifier, coalesce((SELECT arg_min(p.path, p.rank)
     "mutual_imports": "SELECT a.src, a.dst, 2::BIGINT AS ordered FROM {mi} a JOIN {mi} b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst",
     "pure_barrels": "SELECT DISTINCT barrel AS file FROM {reexport} WHERE barrel NOT IN (SELECT file FROM {declaration} WHERE entityType <> 'module')",
     "isolated_modules": "SELECT DISTINCT substr(entityId, 8) AS module FROM {declaration} WHERE entityType = 'module' AND substr(entityId, 8) NOT IN (SELECT src FROM {mi} UNION SELECT dst FROM {mi})",
+    "barrel_counts": r"SELECT (SELECT count(DISTINCT barrel) FROM {reexport}) AS barrels, (SELECT count(DISTINCT barrel) FROM {reexport} WHERE barrel NOT IN (SELECT file FROM {declaration} WHERE entityType <> 'module')) AS pure, (SELECT count(DISTINCT file) FROM {declaration} WHERE entityType = 'module') AS files, (SELECT count(DISTINCT file) FROM {declaration} WHERE entityType = 'module' AND regexp_matches(file, 'm[0-9]\.ts$')) AS locale_files",
+    "first_seeds": "SELECT entityId, arg_min(name, ord) AS name FROM {declaration} GROUP BY entityId HAVING contains(split_part(arg_min(name, ord), '.', -1), '1') ORDER BY min(ord), entityId LIMIT 3",
+    "static_edges": "SELECT * FROM (SELECT 'calls' AS kind, callerId AS caller, calleeId AS target, calleeName AS name, file, line FROM {calls} UNION ALL SELECT 'references', callerId, targetId, name, file, line FROM {refs}) WHERE starts_with(caller, 'user:1') AND ends_with(coalesce(target, name), '7')",
     "layer_edges": r"SELECT from_layer, to_layer, count(*) AS n FROM (SELECT regexp_extract(src, '([0-9])\.ts$', 1) AS from_layer, regexp_extract(dst, '([0-9])\.ts$', 1) AS to_layer FROM {mi}) x WHERE from_layer <> to_layer GROUP BY from_layer, to_layer",
     "dependency_density": "SELECT modules, import_edges, call_edges, round(import_edges / modules, 2) AS imports_per_module, round(call_edges / modules, 2) AS calls_per_module FROM (SELECT (SELECT count(DISTINCT entityId) FROM {declaration} WHERE entityType = 'module') AS modules, (SELECT count(*) FROM {mi}) AS import_edges, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM {mod_edges} WHERE ctx IN ('calls', 'instantiates'))) AS call_edges)",
     # Recursion
@@ -174,7 +178,16 @@ SELECT scheme, count(*) AS ids, sum(n)::BIGINT AS entities, count(*) FILTER (n >
     "snapshot_diff": "SELECT * FROM {sdiff}",
     "diff_categories": r"SELECT d.cat, count(*) AS n, count(*) FILTER (d.cat = 'rename_owner' AND regexp_matches(a.name || b.name, '@\w+?\d+')) AS positional FROM {sdiff} d LEFT JOIN {ra} a ON a.ord = d.a LEFT JOIN {rb} b ON b.ord = d.b GROUP BY d.cat",
     "scheme_scores": "SELECT cat, scheme, outcome, count(*) AS n, count(*) FILTER (outcome = 'survive' AND b_in_b > 1) AS shared FROM {scored} GROUP BY ALL",
-    "distinct_events": "SELECT cat, scheme, outcome, sum(size)::BIGINT AS raw, count(*) AS events, max(size) AS largest, count(*) FILTER (size > 1) AS several, count(*) FILTER (alone = 1) AS from_unique FROM (SELECT cat, scheme, outcome, coalesce(ida, idb) AS id, count(*) AS size, min(CASE WHEN a IS NOT NULL THEN a_in_a ELSE b_in_b END) AS alone FROM {scored} WHERE outcome IN ('alias', 'reappear') GROUP BY ALL) GROUP BY ALL",
+    "distinct_events": "SELECT cat, scheme, outcome, sum(size)::BIGINT AS raw, count(*) AS events, max(size) AS largest, count(*) FILTER (size > 1) AS several, count(*) FILTER (alone = 1) AS from_unique, count(*) FILTER (alone = 1 AND gone AND NOT other) AS held_by_added, count(*) FILTER (alone = 1 AND gone AND other) AS held_by_other, count(*) FILTER (alone = 1 AND gone AND nodes < 12) AS small FROM {evs} GROUP BY ALL",
+    "event_clusters": """
+WITH RECURSIVE e AS (SELECT *, 'c' || (length(regexp_replace(id, '[^0-4]', '', 'g')) % 5) AS child FROM {evs}),
+p AS (SELECT cat, scheme, outcome, child, sum(size) AS raw, count(*) AS n FROM e GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY cat, scheme, outcome ORDER BY raw DESC, child) AS r FROM p),
+z AS (SELECT *, row_number() OVER (PARTITION BY cat, scheme, outcome ORDER BY size DESC, id) AS r FROM e)
+SELECT e.cat, e.scheme, e.outcome, sum(e.size)::BIGINT AS raw, count(*) AS events, count(DISTINCT e.id) AS distinct_ids, count(DISTINCT e.child) AS commits, count(*) - (SELECT t.n FROM t WHERE t.r = 1 AND t.cat = e.cat AND t.scheme = e.scheme AND t.outcome = e.outcome) AS without_top,
+ (SELECT string_agg(z.size, ',' ORDER BY z.r) FROM z WHERE z.r <= 8 AND z.cat = e.cat AND z.scheme = e.scheme AND z.outcome = e.outcome) AS top_sizes, (SELECT string_agg(t.child || ':' || t.raw, ' ' ORDER BY t.r) FROM t WHERE t.r <= 3 AND t.cat = e.cat AND t.scheme = e.scheme AND t.outcome = e.outcome) AS top_commits FROM e GROUP BY e.cat, e.scheme, e.outcome""",
+    "reappearing_types": "SELECT cat, type, other_type, count(*) AS n FROM (SELECT d.cat, d.type, (SELECT arg_max(b.type, b.ord) FROM {rb} b WHERE b.structureId = a.structureId) AS other_type FROM {sdiff} d JOIN {ra} a ON a.ord = d.a WHERE d.cat = 'removed' UNION ALL SELECT d.cat, d.type, (SELECT arg_max(a.type, a.ord) FROM {ra} a WHERE a.structureId = b.structureId) FROM {sdiff} d JOIN {rb} b ON b.ord = d.b WHERE d.cat = 'added') WHERE other_type IS NOT NULL GROUP BY ALL",
+    "scheme_scores_classes": "SELECT cat, scheme, outcome, count(*) AS n, count(*) FILTER (outcome = 'survive' AND b_in_b > 1) AS shared FROM {scored} s WHERE (SELECT type FROM {sdiff} d WHERE d.cat = s.cat AND d.a IS NOT DISTINCT FROM s.a AND d.b IS NOT DISTINCT FROM s.b) = 'class' GROUP BY ALL",
     "blind_spots": """
 WITH RECURSIVE r AS (SELECT a.* FROM {sdiff} d JOIN {ra} a ON a.ord = d.a WHERE d.cat = 'removed'), n AS (SELECT b.* FROM {sdiff} d JOIN {rb} b ON b.ord = d.b WHERE d.cat = 'added')
 SELECT count(*) AS removed, count(*) FILTER (EXISTS (SELECT 1 FROM n WHERE n.file = r.file AND n.type = r.type)) AS same_file_sibling, count(*) FILTER (EXISTS (SELECT 1 FROM n WHERE n.file <> r.file AND n.type = r.type AND n.name = r.name)) AS same_name_elsewhere, count(*) FILTER (r.file NOT IN (SELECT file FROM {rb})) AS file_gone FROM r""",

@@ -83,6 +83,12 @@ def _diff(t: Testbed) -> DataFrame:
     return snapshot.diff(_raw(t, "a"), _raw(t, "b"))
 
 
+def _clusters(t: Testbed) -> DataFrame:
+    """Events of one pair, shared out to five commits by a digit of their id."""
+    e = snapshot.events(_diff(t), _raw(t, "a"), _raw(t, "b"), SCHEMES)
+    return snapshot.event_clusters(e.withColumn("child", F.concat(F.lit("c"), F.length(F.regexp_replace("id", "[^0-4]", "")) % 5)))
+
+
 def _records(t: Testbed) -> DataFrame:
     return snapshot.records(_raw(t, "b")).select("file", "name", "type", "fp", "n", "ord", "dup", *SCHEMES)
 
@@ -165,6 +171,9 @@ _OPS: dict[str, Callable[[Testbed], DataFrame]] = {
     "pure_barrels": lambda t: metrics.pure_barrels(t.facts()),
     "isolated_modules": lambda t: metrics.isolated_modules(t.facts()),
     "layer_edges": _layers,
+    "barrel_counts": lambda t: metrics.barrel_counts(t.facts(), r"m[0-9]\.ts$"),
+    "first_seeds": lambda t: metrics.first_seeds(t.facts(), F.col("segment").contains("1")),
+    "static_edges": lambda t: metrics.static_edges(t.facts(), caller="^user:1", callee="7$"),
     "dependency_density": lambda t: metrics.dependency_density(t.facts()),
     # Recursion
     "blast_radius": lambda t: _radius(t, "calls", "instantiates"),
@@ -201,6 +210,9 @@ _OPS: dict[str, Callable[[Testbed], DataFrame]] = {
     "diff_categories": lambda t: snapshot.categories(_diff(t), snapshot.records(_raw(t, "a")), snapshot.records(_raw(t, "b"))),
     "scheme_scores": lambda t: snapshot.scheme_scores(_diff(t), _raw(t, "a"), _raw(t, "b"), SCHEMES),
     "distinct_events": lambda t: snapshot.distinct_events(_diff(t), _raw(t, "a"), _raw(t, "b"), SCHEMES),
+    "event_clusters": _clusters,
+    "reappearing_types": lambda t: snapshot.reappearing_types(_diff(t), _raw(t, "a"), _raw(t, "b"), "structureId"),
+    "scheme_scores_classes": lambda t: snapshot.scheme_scores(_diff(t), _raw(t, "a"), _raw(t, "b"), SCHEMES, types=["class"]),
     "blind_spots": lambda t: snapshot.blind_spots(_diff(t), _raw(t, "a"), _raw(t, "b")),
     "snapshot_join_rate": lambda t: snapshot.join_rate(_raw(t, "a"), _raw(t, "b").withColumnRenamed("type", "entityType")),
     # Lenses
