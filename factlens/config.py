@@ -14,7 +14,9 @@ class Config:
     local_references: bool = False
     unique_members: bool = False
     repository: str = "."
+    path: str = ""
     commits: str = ""
+    least_files: int = 100
     most_commits: int = 0
     min_nodes: int = 12
     runtime: str = ""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlens.facts import FactBase
-from factlens.operators import graph, hygiene, integrity, metrics
+from factlens.operators import graph, hygiene, integrity, metrics, runtime
 from factlens.operators import relations as rel
 
 
@@ -77,6 +77,21 @@ def statistics(fb: FactBase) -> dict[str, DataFrame]:
     }
 
 
+def trace(fb: FactBase, r: DataFrame, seeds: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Runtime facts against the static ones, by section: how well they join, what is new, what sampling saw, what closures gain."""
+    seeds = seeds if seeds is not None else metrics.top_seeds(fb).select(F.col("entityId").alias("seed"))
+    return {
+        "join rate": runtime.join_rate(r),
+        "tiers": runtime.tiers(r),
+        "novelty": runtime.novelty(r, fb["calls"]),
+        "known under another name": runtime.alias_edges(r, fb["calls"], fb["declaration"]),
+        "runs that saw an edge": runtime.sampling_recall(r),
+        "static pairs seen": runtime.observed_static(r, fb["calls"]),
+        "closure gain": runtime.closure_gain(r, fb["calls"], seeds),
+        "busiest edges": runtime.hot_edges(r),
+    }
+
+
 def preview(df: DataFrame, group: str, order: str, most: int = 6) -> DataFrame:
     """The first ``most`` rows of each group, by ``order``."""
     from pyspark.sql import Window

@@ -500,9 +500,13 @@ def extract(files: DataFrame, local_references: bool = False, unique_members: bo
 MATCHED = ("class", "interface", "type", "enum", "function", "constructor", "method", "accessor", "property", "variable")
 
 
-def snapshot_records(files: DataFrame, types: tuple[str, ...] = MATCHED) -> DataFrame:
-    """Records for ``operators.snapshot`` of (sha, path, text) files: file, name, type, fp, n, ord and the id columns, by sha."""
-    raw = raw_facts(files.select(F.concat("sha", F.lit("\n"), "path").alias("path"), "text"))
+def snapshot_raw(files: DataFrame) -> DataFrame:
+    """Raw rows of (sha, path, text) files of many commits; ``file`` is sha, line feed, path."""
+    return raw_facts(files.select(F.concat("sha", F.lit("\n"), "path").alias("path"), "text"))
+
+
+def snapshot_records(raw: DataFrame, types: tuple[str, ...] = MATCHED) -> DataFrame:
+    """Records for ``operators.snapshot`` of ``snapshot_raw`` rows: file, name, type, fp, n, ord and the id columns, by sha."""
     d = raw.where("kind = 'declaration' and fp is not null").where(F.col("entityType").isin(*types))
     at = F.split("file", "\n", 2)
     clean = F.regexp_replace("id", "^ts:[^:]*:", "")

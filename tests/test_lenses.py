@@ -63,7 +63,7 @@ def test_versions_of_a_source_are_matched(spark):
     old = "export function f(a: number) { const x = a + 1; return x * f(a) }\nclass K { m(p: string) { return p.length + p.length } }\nfunction gone() { return [1, 2, 3].map(String).join('-') }"
     new = "export function g(a: number) { const x = a + 1; return x * g(a) }\nclass L { m(p: string) { return p.length + p.length } }\nfunction added() { return { a: 1, b: 2, c: 3, d: [4, 5, 6] } }"
     files = spark.createDataFrame([("s1", "a.ts", old), ("s2", "a.ts", new)], "sha string, path string, text string")
-    r = extract.snapshot_records(files)
+    r = extract.snapshot_records(extract.snapshot_raw(files))
     a, b = (r.where(f"sha = '{s}'") for s in ("s1", "s2"))
     d = snapshot.diff(a, b)
     names = {x.ord: x.name for x in a.collect()}, {x.ord: x.name for x in b.collect()}

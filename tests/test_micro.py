@@ -246,3 +246,18 @@ def test_profile_tree(spark):
     assert pairs(graph.tree_inclusive(t, ["p"], "hits")) == [(1, 0, 15), (1, 1, 9), (1, 2, 7), (1, 3, 4), (1, 4, 5), (2, 0, 7)]
     assert [tuple(r) for r in graph.collapse_tree(t, ["p"]).orderBy("node").collect()] == [(1, 0, None, False), (1, 2, 0, True), (1, 3, 2, False), (1, 4, 0, False)]
     assert pairs(runtime.frame_edges(t, ["p"])) == [("<workload>", "r", False, 15), ("a", "b", False, 4), ("r", "a", True, 7), ("r", "b", False, 5)]
+
+
+def test_many_pairs_are_matched_each_by_itself(spark):
+    s = "child string, file string, name string, type string, fp string, n int, ord long, entityId string"
+    rows = lambda *x: spark.createDataFrame([(c, "f", n, "class", fp, 20, k, f"{c}{n}") for k, (c, n, fp) in enumerate(x)], s)
+    a = rows(("p", "x", "1"), ("q", "x", "1"), ("q", "y", "2"))
+    b = rows(("p", "z", "1"), ("q", "x", "1"), ("q", "w", "9"))
+    d = snapshot.diff(a, b, by=("child",))
+    assert sorted((r.child, r.cat) for r in d.collect()) == [("p", "rename"), ("q", "added"), ("q", "removed"), ("q", "unchanged")]
+
+
+def test_event_clusters_by_hand(spark):
+    e = spark.createDataFrame([("c1", "removed", "s", "reappear", i, n) for i, n in (("a", 5), ("b", 1))] + [("c2", "removed", "s", "reappear", "a", 2)], "child string, cat string, scheme string, outcome string, id string, size long")
+    r = snapshot.event_clusters(e).first()
+    assert (r.raw, r.events, r.distinct_ids, r.commits, r.without_top, r.top_sizes, r.top_commits) == (8, 3, 2, 2, 1, "5,2,1", "c1:6 c2:2")

@@ -98,6 +98,32 @@ def test_runtime_upsert(spark, tmp_path):
     assert got == {("a", "b"): (7, 2, True, "A"), ("c", "d"): (1, 1, True, "C"), ("e", "f"): (1, 1, False, "E")}
 
 
+def test_first_runtime_upsert_needs_no_target(spark, tmp_path):
+    new = spark.createDataFrame([("a", "b", 5, True, "A", 0)], "callerFrame string, calleeFrame string, samples long, viaNative boolean, callerId string, ord long")
+    facts_io.upsert_runtime(spark, new, str(tmp_path / "none"), str(tmp_path / "m1"))
+    facts_io.upsert_runtime(spark, new, str(tmp_path / "m1"), str(tmp_path / "m2"))
+    assert [(r.samples, r.runs) for r in spark.read.parquet(str(tmp_path / "m2")).collect()] == [(10, 2)]
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    for name, n in (("a", 2), ("b", 50), ("c", 7)):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps({"kind": "calls", "name": f"{name}{k}"}) + "\n" for k in range(n)))
+    names = [f"{name}{k}" for name, n in (("a", 2), ("b", 50), ("c", 7)) for k in range(n)]
+    for size in ("128m", "200"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert [r.name for r in facts_io.read_lines(spark, str(tmp_path)).orderBy("ord").collect()] == names
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_test_folders_are_path_segments(spark, tmp_path):
+    for d in ("latests", "tests", "a b+c%"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.ts").write_text("x")
+    assert sorted(r.path for r in tree.source_files(spark, str(tmp_path)).collect()) == ["a b+c%/x.ts", "latests/x.ts"]
+
+
 def test_snapshots_are_replaced_by_commit(spark, tmp_path):
     p = str(tmp_path / "snaps")
     for sha, n in (("s1", 1), ("s2", 2), ("s1", 3)):
@@ -129,6 +155,33 @@ def test_source_tree_and_history(spark, tmp_path):
     assert sorted((r.sha == log[0].parent, r.path, r.text) for r in snaps.collect()) == [(False, "src/a.ts", "export const a = 3;"), (True, "src/a.ts", "export const a = 0;")]
 
 
+def test_history_of_a_repository(spark, tmp_path, capsys):
+    from factlens.__main__ import main
+    from factlens.plans import history
+
+    repo, out = tmp_path / "r", str(tmp_path / "out")
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
+    repo.mkdir()
+    git("init", "-q")
+    body = "(a: number) { const x = a + 1; const y = x * 2; return [x, y, a].map(String).join('-') }"
+    versions = [f"export function f{body}\nexport function keep{body.replace('2', '3')}", f"export function g{body}\nexport function keep{body.replace('2', '3')}", f"export function g{body}\nexport function keep{body.replace('x * 2', 'x * 3 + a')}"]
+    for v in versions:
+        (repo / "a.ts").write_text(v)
+        git("add", "-A")
+        git("commit", "-q", "-m", "c")
+    pairs = history.commit_pairs(spark, str(repo))
+    assert len(history.collect(spark, str(repo), out, pairs)) == 3 and history.collect(spark, str(repo), out, pairs) == []
+    got = history.compare(spark, out, pairs, least_files=1)
+    # f's rename in one commit; keep's body, and the variable in it, in another.
+    counts = {r.cat: (r.entities, r.commits) for r in got["categories"].collect()}
+    assert counts["rename"] == (1, 1) and counts["body_edit"] == (2, 1) and counts["unchanged"][1] == 2
+    assert [tuple(r) for r in got["commits"].collect()] == [(3, 3)] and got["rates"].first().least == 100.0
+    one = {(r.cat, r.scheme, r.outcome): r.n for r in got["scores"].collect()}
+    assert one["rename", "entityId", "vanish"] == 1 and one["rename", "structureId", "survive"] == 1
+    assert main(["history", "--repository", str(repo), "--out", out, "--least-files", "1"], spark) == 0
+    assert "0 commits read" in capsys.readouterr().out
+
+
 def test_profiles(spark, tmp_path):
     frame = lambda f, u, ln: {"functionName": f, "scriptId": "1", "url": u, "lineNumber": ln, "columnNumber": 2}
     p = {"nodes": [{"id": 1, "callFrame": frame("(root)", "", -1), "children": [2]}, {"id": 2, "callFrame": frame("f", "file:///c/a%20b.ts", 4), "children": []}], "samples": [2, 2, 1]}
