@@ -14,10 +14,11 @@ scores that tokens have in clean labelled texts that the lexicon wasn't made fro
 these E-values fall below 1, as logarithms summed over a document's segments,
 passes through a one-variable logistic fit.
 
-Scale: labelled rows are copied out once, ``max_rows`` at most; all tokens of the
-toxic ones among them take part, so their number is bounded by the sample, and
-so is what is broadcast and collected.  One narrow pass counts those tokens in
-all documents (summed within each task before the shuffle), one scores them.
+Scale: labelled rows are copied out once, of ``max_rows`` ids at most; the model
+is fitted on these.  All tokens of the toxic ones among them take part, so their
+number is bounded by the sample, and so is what is broadcast and collected.  One
+narrow pass counts those tokens in all documents (summed within each task before
+the shuffle), one scores them; nothing of either is written but the result.
 
 Defined results: a null text counts as empty; a text without tokens has no
 evidence and the lowest score; a very long text is scored whole; ids may be of
@@ -161,13 +162,11 @@ def extreme_value(score: np.ndarray, p: np.ndarray, cost: float = COST) -> tuple
     return lam / STEP, float(np.log(k))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 50_000, strength: float = 20.0, sigmas: float = 1.5, margin: float = 1.0) -> ToxicModel:
-    """Token scores from labelled rows with crc32 mod 5 in 1, 2, 3 and all texts' frequencies; the law from clean rows with 4.
+def labelled_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "toxic", max_rows: int = 50_000) -> DataFrame:
+    """(doc_id, text, y, learnt) of rows that aren't held out, of ``max_rows`` ids at most, picked by hash.
 
-    ``max_rows`` bounds the labelled ids that are used; a hash picks them.
+    The lexicon is made from ``learnt`` rows (crc32 mod 5 in 1, 2, 3); the others calibrate.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
     lab = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
     lab = lab.groupBy("doc_id").agg((F.max("y") > 0).alias("y"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -176,12 +175,16 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_ro
     if n > max_rows:
         # The bound leaves room for the hash's spread.
         lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(0.95 * max_rows / n * (1 << 20))).limit(max_rows)
-    sample = scratch.save(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("text", "y", "learnt"), "labelled")
+    return scratch.save(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("doc_id", "text", "y", "learnt"), "labelled")
+
+
+def fit_lexicon(docs: DataFrame, sample: DataFrame, strength: float = 20.0, sigmas: float = 1.5, margin: float = 1.0) -> ToxicModel:
+    """Token scores from the learnt rows of ``labelled_rows`` and all texts' frequencies; the law from clean rows apart."""
+    spark = docs.sparkSession
     learnt = sample.where("learnt")
     size = {r.y: r.n for r in learnt.groupBy("y").agg(F.count("*").alias("n")).collect()}
     none = ToxicModel(np.zeros(0, np.uint64), np.zeros(0))
     if not size.get(True) or not size.get(False):
-        scratch.drop(sample)
         return none
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +239,6 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_ro
     if len(steps):
         p = np.array([clean.get(k, 0) for k in steps.tolist()], float) + own / own.sum()
         model.lam, model.log_k = extreme_value(steps * STEP, p / (sum(clean.values()) + 1))
-    scratch.drop(sample)
     return model
 
 
@@ -294,13 +296,14 @@ def logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray, ridge: float = 1e-2)
     return float(w[0]), float(w[1])
 
 
-def calibrate(found: DataFrame, labels: DataFrame, model: ToxicModel, label: str = "toxic", bins: int = 50) -> ToxicModel:
-    """Fit the logistic step on rows with crc32 mod 5 = 4, from counts in ``bins`` bins a unit (the sum is a logarithm, so bins are few)."""
-    lab = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    for want in (fold == 4, fold != 0):
-        rows = found.join(lab.where(want), "doc_id")
-        hist = rows.groupBy(F.floor(_summed(model) * bins).alias("bin")).agg(F.sum((F.col("y") > 0).cast("int")).alias("pos"), F.count("y").alias("n")).orderBy("bin").collect()
+def calibrate(sample: DataFrame, model: ToxicModel, bins: int = 50) -> ToxicModel:
+    """Fit the logistic step on rows apart from the learnt ones (on all, if those have one kind only), from counts in ``bins`` bins a unit.
+
+    The sum is a logarithm, so bins are few.
+    """
+    found = evidence(sample.withColumn("doc_id", F.struct("y", "learnt")), model)
+    for want in (~F.col("doc_id.learnt"), F.lit(True)):
+        hist = found.where(want).groupBy(F.floor(_summed(model) * bins).alias("bin")).agg(F.sum(F.col("doc_id.y").cast("int")).alias("pos"), F.count("*").alias("n")).orderBy("bin").collect()
         pos, n = np.array([r.pos for r in hist], float), np.array([r.n for r in hist], float)
         if len(hist) and 0 < pos.sum() < n.sum():
             model.slope, model.offset = logistic(np.array([r.bin for r in hist], float) / bins, pos, n)
@@ -308,6 +311,15 @@ def calibrate(found: DataFrame, labels: DataFrame, model: ToxicModel, label: str
     return model
 
 
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 50_000) -> ToxicModel:
+    """The model fitted on ``labels`` but for held-out ids."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = labelled_rows(docs, labels, scratch, label, max_rows)
+    model = calibrate(sample, fit_lexicon(docs, sample))
+    scratch.drop(sample)
+    return model
+
+
 def score(found: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
     x = _summed(model) * model.slope + model.offset
     p = F.when(x > -700, 1 / (1 + F.exp(-x))).otherwise(0.0) if model.known else F.lit(0.0)
@@ -316,10 +328,8 @@ def score(found: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFr
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``; fitted on ``labels`` but for held-out ids."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    model = fit_lexicon(docs, labels, label)
-    found = scratch.save(evidence(docs, model), "evidence")
-    return score(found, calibrate(found, labels, model, label), threshold)
+    model = fitted(docs, labels, label)
+    return score(evidence(docs, model), model, threshold)
 
 
 def toxic_spans(docs: DataFrame, model: ToxicModel) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from corpus_helpers import ROOT, SMALL, prose
 from pyspark.sql import functions as F
 
+from factlens.llm.common import Scratch
 from factlens.llm import packing, queries, quality, token_count, toxicity
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -183,7 +184,8 @@ def brute_lexicon(rows, y, strength=20.0, sigmas=1.5, margin=1.0):
 
 def test_lexicon_equals_brute_force(spark, docs_of, rng):
     rows, labels = labelled(spark, docs_of, rng, 300)
-    model = toxicity.fit_lexicon(docs_of(rows), labels)
+    docs = docs_of(rows)
+    model = toxicity.fit_lexicon(docs, toxicity.labelled_rows(docs, labels, Scratch(spark, "test")))
     want = brute_lexicon(rows, {r.doc_id: r.toxic for r in labels.collect()})
     assert len(want) > 3 and np.allclose(sorted(model.scores), want, atol=1e-6)
 
@@ -199,8 +201,7 @@ def test_ids_of_any_type(spark, docs_of, rng):
 def test_toxic_spans(spark, docs_of, rng):
     rows, labels = labelled(spark, docs_of, rng)
     docs = docs_of(rows)
-    model = toxicity.fit_lexicon(docs, labels)
-    model = toxicity.calibrate(toxicity.evidence(docs, model), labels, model)
+    model = toxicity.fitted(docs, labels)
     text = prose(rng, 50) + " vilest scummy wretchy " + prose(rng, 50)
     got = toxicity.toxic_spans(docs_of([(1, text), (2, None), (3, prose(rng, 80))]), model).collect()
     assert [(r.doc_id, r.start, r.end) for r in got] == [(1, 50, 53)] and got[0].e_value < 1
