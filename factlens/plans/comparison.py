@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factlens.plans import testbed
+from factlens.plans import samples, testbed
 
 #: Derived relations that several texts share.
 DERIVED: dict[str, str] = {
@@ -227,4 +227,4 @@ SELECT r.file, r.line, r.col, r.fn, CASE WHEN r.line = 1 AND r.col = 0 AND r.fn
 
 def texts() -> dict[str, str]:
     views = dict(testbed.VIEWS)
-    return {k: testbed.with_views(v, {**views, **DERIVED}) for k, v in SQL.items()}
+    return {**{k: testbed.with_views(v, {**views, **DERIVED}) for k, v in SQL.items()}, **samples.SQL}

@@ -11,6 +11,7 @@ from factlens.facts import FactBase
 from factlens.operators import graph, hygiene, integrity, lenses, metrics, runtime, snapshot
 from factlens.operators import relations as rel
 
+from . import samples
 from .testbed import Testbed
 
 SCHEMES = ["entityId", "structureId", "contentId"]
@@ -244,4 +245,4 @@ def _bound(op: Callable[[Testbed], DataFrame]) -> Callable[[SparkSession, str],
     return lambda spark, sf_dir: op(Testbed(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _bound(v) for k, v in _OPS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: _bound(v) for k, v in _OPS.items()}, **samples.QUERIES}
