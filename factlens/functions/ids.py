@@ -91,7 +91,7 @@ def body_fingerprint(structure: Column | str) -> Column:
 
 
 def import_candidates(specifier: Column | str) -> Column:
-    """Ranked target paths of a relative specifier (first that exists wins)."""
+    """Ranked target paths of a relative specifier (first that exists wins); fixed values."""
     s = _c(specifier)
     js = lambda to: F.regexp_replace(s, r"\.js$", to)
     return F.array(js(".ts"), F.concat(s, F.lit(".ts")), js("/index.ts"), F.concat(s, F.lit("/index.ts")), js(".d.ts"), F.concat(js(""), F.lit("/index.ts")))

@@ -11,6 +11,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v, True) for k, v in fields.items()])
 
 
+# The field names of facts, in the order of fact files.
 DECLARATION = _struct(entityId=_s, entityType=_s, name=_s, file=_s, exported=_b, structureId=_s, contentId=_s)
 CONTAINS = _struct(containerId=_s, entityId=_s)
 IMPORT = _struct(importerFile=_s, exportedBy=_s, importedName=_s, importType=_s)

@@ -32,6 +32,7 @@ RAW = (
 )
 _COLUMNS = [c.split()[0] for c in RAW.split(", ")]
 
+# The node kinds that make declarations, id segments and entity types.
 _CALLABLE = {"function", "method", "constructor", "getaccessor", "setaccessor", "arrowfunction", "functionexpression"}
 _HOLDERS = {"variable", "propertyassignment", "property", "propertysignature"}
 _DECLARED = {"class", "interface", "function", "typealias", "enum", "method", "methodsignature", "constructor", "getaccessor", "setaccessor", "property", "propertysignature", "variable", "parameter", "propertyassignment", "bindingelement"}

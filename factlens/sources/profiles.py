@@ -78,7 +78,15 @@ def source_map_segments(scripts: DataFrame) -> DataFrame:
 
 
 def original_positions(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """Frames (scriptId, gline, gcol) with the source, line and col of the last mapping at or before them on their line."""
+    """Frames (scriptId, gline, gcol) with the source, line and col of the last mapping at or before them on their line.
+
+    One ordered pass over both, line by line: a minified script on one line is a
+    sort of its mappings and frames, not their product.
+    """
     f = frames.select("scriptId", "gline", "gcol").distinct()
-    s = segments.select("scriptId", "gline", F.col("gcol").alias("at"), F.struct(F.col("gcol"), "source", "line", "col").alias("m"))
-    return f.join(s, ["scriptId", "gline"]).where("at <= gcol").groupBy("scriptId", "gline", "gcol").agg(F.max("m").alias("m")).select("scriptId", "gline", "gcol", "m.source", "m.line", "m.col")
+    none = F.lit(None).cast("struct<gcol:int,source:string,line:int,col:int>")
+    s = segments.select("scriptId", "gline", "gcol", F.lit(0).alias("asks"), F.struct("gcol", "source", "line", "col").alias("m"))
+    both = s.unionByName(f.select("scriptId", "gline", "gcol", F.lit(1).alias("asks"), none.alias("m")))
+    line = Window.partitionBy("scriptId", "gline").orderBy("gcol", "asks", "m").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("m", F.last("m", ignorenulls=True).over(line)).where("asks = 1 and m is not null")
+    return found.select("scriptId", "gline", "gcol", "m.source", "m.line", "m.col")
