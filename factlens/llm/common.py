@@ -91,7 +91,7 @@ class Scratch:
         """Write ``df`` and read it back: its lineage ends in shared files."""
         df = df.coalesce(files_for(df, 2 * self.spark.sparkContext.defaultParallelism))
         path = f"{shared_dir(self.spark)}/{self.name}-{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)  # texts take a third less than with the default
         out = self.spark.read.schema(df.schema).parquet(path)
         out._factlens_scratch = path
         return out

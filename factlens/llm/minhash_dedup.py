@@ -218,9 +218,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, leader
     found = labels.select(F.col("id").alias("rep"), "component")
     ids = member.select("doc_id", "rep").join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     ids = scratch.save(ids.groupBy("doc_id").agg(F.min("component").alias("component")), "ids")
-    out = feats.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left")
+    sizes = scratch.save(feats.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
+    out = sizes.join(ids, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    scratch.drop(sets, shown, open_, tried, in_bucket, hot, classes, member, sharp, more)
+    scratch.drop(sets, shown, open_, tried, in_bucket, hot, classes, member, sharp, more, feats)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
