@@ -1,6 +1,7 @@
 import sys
 import zlib
 from collections import defaultdict
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -87,6 +88,58 @@ def test_statistics_do_not_depend_on_neighbours(rng):
         assert np.allclose(quality.statistics(pa.array([t], pa.string())), whole[i])
 
 
+def brute_statistics(t):
+    """The statistics of one text in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    b = (t or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    size, n, low = len(b), len(w), [x.lower() for x in w]
+    one, safe, sizes = max(size, 1), max(n, 1), [len(x) for x in w]
+    share = lambda chars: sum(c in chars for c in b) / one
+    of = lambda f: sum(map(f, w)) / safe
+    mean = sum(sizes) / safe
+    punct = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+    upper, lower = share(bytes(range(65, 91))), share(bytes(range(97, 123)))
+    lines, distinct = b.count(b"\n") + (size > 0), len(set(low))
+    return [
+        math.log1p(size), math.log1p(n), min(mean, 40), min(math.sqrt(max(sum(x * x for x in sizes) / safe - mean**2, 0)), 40), upper, lower, upper / max(upper + lower, 1e-9), share(b"0123456789"), share(punct),
+        share(b".,"), share(b"!"), share(b"?"), share(b"|"), share(b"%&$#*"), share(b"<>{}[]()=/;_"), share(b"'\"-:"), share(bytes(range(128, 256))), share(b" \t\r\x0b\x0c\n"), math.log1p(lines), math.log1p(one / max(lines, 1)),
+        distinct / safe, math.log1p(distinct) / math.log1p(safe + 1), max(Counter(low).values(), default=0) / safe, sum(x == y for x, y in zip(low, low[1:])) / safe,
+        of(lambda x: x[-1] in punct), of(lambda x: 65 <= x[0] <= 90), of(lambda x: len(x) <= 3), of(lambda x: len(x) >= 15), of(lambda x: len(x) == 1),
+        -sum(c / one * math.log(c / one) for c in Counter(b).values()),
+    ]
+
+
+def test_statistics_equal_brute_force(rng):
+    texts = ["", None, "A b. a B", prose(rng, 80).title(), "x " * 50, "é\n中!\n\n", "!! || 12,5 <b>", "a\tb\x0bc" * 9, "w" * 60]
+    assert np.allclose(quality.statistics(pa.array(texts, pa.string())), [brute_statistics(t) for t in texts], atol=1e-9)
+
+
+def test_ridge_and_features_equal_one_direct_solution(spark, docs_of, rng):
+    """Partition sums give the weights of one dense solve, and the waves the kernel that they approximate."""
+    rows, labels = labelled(spark, docs_of, rng, 300)
+    model = quality.fit(quality.features(docs_of(rows)), labels, waves=64)
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    own = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    x = model.expand(quality.statistics(pa.array([t for _, t in own])))
+    d, target = x.shape[1], np.array([y[i] for i, _ in own], float)
+    reg = np.eye(d) * 1e-3 * len(x)
+    reg[0, 0] = 0
+    assert np.allclose(x @ np.linalg.solve(x.T @ x + reg + np.eye(d) * 1e-9, x.T @ target), x @ model.weights, atol=1e-6)
+    g = np.random.default_rng(0)
+    scale = np.sqrt((model.freq**2).mean())
+    wide = replace(model, freq=g.normal(size=(quality.N_STATS, 8192)) * scale, phase=g.uniform(0, 2 * np.pi, 8192))
+    assert abs(scale * np.sqrt(quality.N_STATS / 2) - 1) < 0.05
+    s = quality.statistics(pa.array([t for _, t in rows[:40]]))
+    z = np.clip((s - wide.mean) / wide.scale, -8, 8)
+    waves = wide.expand(s)[:, 1 + quality.N_STATS :]
+    gap = ((z[:, None] - z[None]) ** 2).sum(-1)
+    assert np.abs(waves @ waves.T - np.exp(-gap / quality.N_STATS)).max() < 0.08
+
+
 def test_isotonic_is_the_least_squares_rising_fit(rng):
     g = np.random.default_rng(0)
     for _ in range(50):
