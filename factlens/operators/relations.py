@@ -81,11 +81,13 @@ def module_imports(fb: FactBase, values_only: bool = False) -> DataFrame:
 
 def module_imports_one_hop(fb: FactBase) -> DataFrame:
     """Imports through one barrel: the first re-export that is a star or has the name replaces the target; unknown files drop out."""
-    i = internal_imports(fb)
-    r = fb["reexport"].select(F.col("barrel").alias("exportedBy"), F.struct("ord", "source").alias("hop"), "reexportedName")
-    keys = i.select("exportedBy", "importedName").distinct()
-    first = keys.join(r, "exportedBy").where("reexportedName is null or reexportedName = importedName").groupBy("exportedBy", "importedName").agg(F.min("hop")["source"].alias("source"))
-    hop = i.join(first, ["exportedBy", "importedName"], "left").select("importerFile", F.coalesce("source", "exportedBy").alias("target"))
+    i = internal_imports(fb).select("importerFile", "exportedBy", "importedName").distinct()
+    # The first of each barrel and name, so that no barrel's imports meet all of its re-exports; the earlier of star and name is the first match.
+    least = fb["reexport"].groupBy(F.col("barrel").alias("exportedBy"), F.col("reexportedName").alias("importedName")).agg(F.min(F.struct("ord", "source")).alias("hop"))
+    named = least.where("importedName is not null").withColumnRenamed("hop", "named")
+    star = least.where("importedName is null").select("exportedBy", F.col("hop").alias("star"))
+    found = i.join(named, ["exportedBy", "importedName"], "left").join(star, "exportedBy", "left")
+    hop = found.select("importerFile", F.coalesce(F.least("named", "star")["source"], "exportedBy").alias("target"))
     fm = file_module(fb)
     out = hop.distinct().join(fm.select(F.col("file").alias("importerFile"), F.col("module").alias("src")), "importerFile").join(fm.select(F.col("file").alias("target"), F.col("module").alias("dst")), "target")
     return out.where("src <> dst").select("src", "dst").distinct()

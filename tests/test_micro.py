@@ -161,6 +161,47 @@ def test_first_and_last_wins(base):
     assert pairs(relations.module_imports_one_hop(fb)) == [("a.ts", "b.ts")]  # the file's last declaration is its module; the first star is b.ts
 
 
+def joined_rows(spark, df):
+    """(rows of df, the most rows that one of its joins gives)."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = pairs(df)
+        todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        todo.extend(node.children().apply(k) for k in range(node.children().size()))
+    return rows, most
+
+
+def test_the_first_match_of_a_hop(base):
+    modules = [decl(f"module:{f}", "module", f) for f in ("a.ts", "b.ts", "c.ts", "d.ts", "i.ts", "j.ts")]
+    one = lambda *facts: pairs(relations.module_imports_one_hop(base(*modules, *facts)))
+    name, star = reexp("i.ts", "b.ts", "x"), reexp("i.ts", "c.ts")
+    assert one(imp("a.ts", "i.ts"), name, star) == [("a.ts", "b.ts")]
+    assert one(imp("a.ts", "i.ts"), star, name) == [("a.ts", "c.ts")]
+    assert one(imp("a.ts", "i.ts", "y"), name, star) == [("a.ts", "c.ts")]
+    assert one(imp("a.ts", "i.ts", "y"), name) == [("a.ts", "i.ts")]  # no match: the barrel stays
+    assert one(imp("a.ts", "i.ts"), reexp("i.ts", "d.ts", "x"), name) == [("a.ts", "d.ts")]
+    assert one(imp("a.ts", "i.ts"), reexp("i.ts", "gone.ts"), name) == []
+    assert one(imp("a.ts", "i.ts", None), name, star) == [("a.ts", "c.ts")]  # a star needs no name
+    assert one(imp("a.ts", "i.ts"), imp("a.ts", "j.ts"), imp("d.ts", "i.ts", "y"), name, reexp("j.ts", "i.ts")) == [("a.ts", "b.ts"), ("a.ts", "i.ts"), ("d.ts", "i.ts")]
+
+
+def test_a_busy_barrel_does_not_pair_its_imports_with_its_reexports(spark, base):
+    n = 60
+    modules = [decl(f"module:{f}", "module", f) for f in ("a.ts", "b.ts", "i.ts")]
+    fb = base(*modules, *(imp("a.ts", "i.ts", f"x{k}") for k in range(n)), *(reexp("i.ts", "b.ts") for _ in range(n)), *(reexp("i.ts", "b.ts", f"x{k}") for k in range(n)))
+    found = relations.module_imports_one_hop(fb)
+    rows, most = joined_rows(spark, found)
+    assert rows == [("a.ts", "b.ts")] and most <= 2 * n
+    assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()  # joined by names, not filtered
+
+
 def test_dedup_is_null_safe_and_idempotent(base, spark):
     rows = [("calls", "a", None, 1, 0), ("calls", "a", None, 1, 5), ("calls", "a", None, 2, 2), ("calls", "a", "b", 1, 3)]
     df = spark.createDataFrame(rows, "kind string, callerId string, calleeId string, line int, ord long")
