@@ -109,7 +109,9 @@ def accidental_deps_v1(fb: FactBase) -> DataFrame:
     """One-hop imports without call evidence, nor an entity that inherits a name declared there."""
     em = rel.entity_module(fb)
     named = fb["declaration"].select("entityId", "name").distinct().join(em, "entityId").select(F.col("name").alias("parentName"), F.col("module").alias("dst")).distinct()
-    inherits = fb.heritage().select("childId", "parentName").distinct().join(rel.module_entities(fb).select(F.col("entityId").alias("childId"), F.col("module").alias("src")), "childId").join(named, "parentName").select("src", "dst").distinct()
+    # A module and a name once, however many of its entities inherit it.
+    inherited = fb.heritage().select("childId", "parentName").distinct().join(rel.module_entities(fb).select(F.col("entityId").alias("childId"), F.col("module").alias("src")), "childId").select("src", "parentName").distinct()
+    inherits = inherited.join(named, "parentName").select("src", "dst").distinct()
     return rel.module_imports_one_hop(fb).join(rel.module_calls(fb, instantiations=False), ["src", "dst"], "left_anti").join(inherits, ["src", "dst"], "left_anti")
 
 

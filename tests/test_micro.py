@@ -202,6 +202,19 @@ def test_a_busy_barrel_does_not_pair_its_imports_with_its_reexports(spark, base)
     assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()  # joined by names, not filtered
 
 
+def test_accidental_deps_do_not_pair_children_or_barrels_row_by_row(spark, base):
+    n = 40
+    inherits = lambda c: ("extends", {"childId": c, "parentName": "Base", "parentId": None})
+    facts = [decl(f"module:{f}", "module", f) for f in ("a.ts", "b.ts", "i.ts", "z.ts")]
+    for k in range(n):
+        facts += [decl(f"m{k}.Base", "class", f"m{k}.ts", name="Base"), contains(f"m{k}.ts", f"m{k}.Base"), decl(f"child{k}"), contains("a.ts", f"child{k}"), inherits(f"child{k}")]
+        facts += [imp("a.ts", "i.ts", f"x{k}"), reexp("i.ts", "b.ts"), imp("a.ts", f"m{k}.ts", "Base")]
+    facts += [decl("use", file="a.ts"), contains("a.ts", "use"), decl("used", file="z.ts"), contains("z.ts", "used"), call("use", "used"), imp("a.ts", "z.ts", "used")]
+    rows, most = joined_rows(spark, hygiene.accidental_deps_v1(base(*facts)))
+    assert rows == [("a.ts", "b.ts")]  # the Base modules are inherited from, z.ts is called
+    assert most < n * n // 4
+
+
 def test_dedup_is_null_safe_and_idempotent(base, spark):
     rows = [("calls", "a", None, 1, 0), ("calls", "a", None, 1, 5), ("calls", "a", None, 2, 2), ("calls", "a", "b", 1, 3)]
     df = spark.createDataFrame(rows, "kind string, callerId string, calleeId string, line int, ord long")
